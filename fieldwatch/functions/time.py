@@ -21,9 +21,10 @@ def from_us(us: Column) -> Column:
     return F.timestamp_micros(us).cast(NTZ)
 
 
-def floor_div(value: Column, width: int) -> Column:
+def floor_div(value: Column, width: int | Column) -> Column:
     """Integer floor division that also holds before 1970."""
-    return ((value - F.pmod(value, F.lit(width))) / F.lit(width)).cast("bigint")
+    width = width if isinstance(width, Column) else F.lit(width)
+    return ((value - F.pmod(value, width)) / width).cast("bigint")
 
 
 def trunc_to(unit: str, ts: str | Column) -> Column:

@@ -472,17 +472,24 @@ def forecast_points(hourly: DataFrame, trajectory: DataFrame, keys: Sequence[str
 
     One trajectory as long as the longest horizon serves all: shorter ones are its prefixes.
     """
-    last = hourly.groupBy(*keys).agg(F.max_by(F.struct(HOUR, "overall_site_health"), HOUR).alias("_l")).select(
-        *keys, F.col(f"_l.{HOUR}").alias("timestamp"), F.col("_l.overall_site_health").alias("value"))
-    anchor = last.withColumns({"lower": F.col("value"), "upper": F.col("value")})
-    out = None
-    for name, (hours, step, count) in horizons.items():
-        past = resample_end(hourly, keys, HOUR, "overall_site_health", step, count).withColumns(
-            {"lower": F.col("value"), "upper": F.col("value"), "is_forecast": F.lit(False)})
-        ends = last.select(*keys, (F.col("timestamp") + F.expr(f"interval {hours} hours")).alias("_end"))
-        ahead = trajectory.join(ends, list(keys)).filter(F.col("timestamp") <= F.col("_end")).drop("_end")
-        ahead = regrid(anchor, ahead, keys, step).withColumn("is_forecast", F.lit(True))
-        rows = past.unionByName(ahead).withColumn("horizon", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out.select(*keys, "horizon", "timestamp", *[present(F.col(c), 2).alias(c) for c in ("value", "lower", "upper")],
-                      "is_forecast")
+    plan = F.explode(F.array(*[F.struct(F.lit(n).alias("horizon"), F.lit(h).alias("hours"),
+                                        F.lit(s).alias("step"), F.lit(c).alias("points"))
+                               for n, (h, s, c) in horizons.items()])).alias("_h")
+    group = [*keys, "horizon"]
+    rows = hourly.select(*keys, HOUR, "overall_site_health", plan).select(
+        *keys, HOUR, "overall_site_health", "_h.*")
+    past = resample_end(rows, [*group, "step", "points"], HOUR, "overall_site_health",
+                        F.col("step"), F.col("points")).select(
+        *group, "timestamp", "value", F.col("value").alias("lower"), F.col("value").alias("upper"),
+        F.lit(False).alias("is_forecast"))
+    last = hourly.groupBy(*keys).agg(
+        F.max_by(F.struct(HOUR, "overall_site_health"), HOUR).alias("_l")).select(*keys, "_l", plan)
+    value = F.col("_l.overall_site_health")
+    anchor = last.select(*keys, "_h.*", F.col(f"_l.{HOUR}").alias("timestamp"), value.alias("value"),
+                         value.alias("lower"), value.alias("upper"))
+    ends = anchor.select(*group, (F.col("timestamp") + F.make_dt_interval(hours="hours")).alias("_end"))
+    ahead = trajectory.join(ends, list(keys)).filter(F.col("timestamp") <= F.col("_end"))
+    ahead = regrid(anchor, ahead, group, "step").withColumn("is_forecast", F.lit(True))
+    return past.unionByName(ahead).select(
+        *group, "timestamp", *[present(F.col(c), 2).alias(c) for c in ("value", "lower", "upper")],
+        "is_forecast")

@@ -21,15 +21,19 @@ from .timeblocks import BLOCK, DAY, US, block_window
 HOUR = "timestamp"
 
 
-def hour_grid(df: DataFrame, keys: Sequence[str], ts: str = HOUR) -> DataFrame:
-    """Every hour between each key's first and last one."""
-    bounds = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    return bounds.select(*keys, F.explode(F.sequence(
-        F.col("_lo"), F.col("_hi"), F.expr("interval 1 hour"))).alias(ts))
-
-
 def densify(hourly: DataFrame, keys: Sequence[str], ts: str = HOUR) -> DataFrame:
-    return hour_grid(hourly, keys, ts).join(hourly, [*keys, ts], "left")
+    """Every hour between each key's first and last one; added hours hold NULLs.
+
+    Each row opens the empty hours up to its successor, so the input is read once.
+    """
+    hour = F.expr("interval 1 hour")
+    following = F.lead(ts).over(W.partitionBy(*keys).orderBy(ts))
+    last = F.coalesce(following - hour, F.col(ts))
+    spread = hourly.withColumn("_own", F.col(ts)).withColumn("_last", last).withColumn(
+        ts, F.explode(F.sequence(F.col("_own"), F.col("_last"), hour)))
+    values = [c for c in hourly.columns if c not in (*keys, ts)]
+    return spread.withColumns({c: F.when(F.col(ts) == F.col("_own"), F.col(c)) for c in values}) \
+                 .drop("_own", "_last")
 
 
 def hourly_readings(df: DataFrame, keys: Sequence[str], ts: str,
@@ -93,45 +97,52 @@ def daily_history(hourly: DataFrame, keys: Sequence[str], days: int,
         {n: present(F.col(n), 1) for n in cols})
 
 
-def resample_end(df: DataFrame, keys: Sequence[str], ts: str, value: str, step_hours: int,
-                 n: int) -> DataFrame:
+def _width(step_hours: int | Column) -> Column:
+    step = step_hours if isinstance(step_hours, Column) else F.lit(step_hours)
+    return step.cast("bigint") * F.lit(HOUR_US)
+
+
+def resample_end(df: DataFrame, keys: Sequence[str], ts: str, value: str,
+                 step_hours: int | Column, n: int) -> DataFrame:
     """Means per step on a grid that ends on the last observation, the last ``n`` of them.
 
     A bucket holds the rows in ``(label - step, label]``; the final label is the last
     observation itself.
     """
-    width = step_hours * HOUR_US
+    width = _width(step_hours)
     last = F.max(epoch_us(ts)).over(W.partitionBy(*keys))
     behind = floor_div(F.col("_last") - epoch_us(ts), width)
     binned = df.withColumn("_last", last).withColumn(
-        "timestamp", from_us(F.col("_last") - behind * F.lit(width)))
+        "timestamp", from_us(F.col("_last") - behind * width))
     means = binned.groupBy(*keys, "timestamp").agg(F.avg(value).alias("value")).na.drop(
         subset=["value"])
     newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("timestamp").desc()))
     return means.withColumn("_rk", newest).filter(F.col("_rk") <= n).drop("_rk")
 
 
-def regrid(anchor: DataFrame, trajectory: DataFrame, keys: Sequence[str], step_hours: int,
+def regrid(anchor: DataFrame, trajectory: DataFrame, keys: Sequence[str], step: int | str,
            cols: Sequence[str] = ("value", "lower", "upper"), ts: str = "timestamp") -> DataFrame:
     """Trajectory points on a display grid that starts at the anchor (anchor row removed).
 
     Means per step where several points fall into one, straight lines between points where
-    the grid is finer.
+    the grid is finer.  ``step``: hours, or the anchor's column holding them.
     """
-    width = step_hours * HOUR_US
+    step = F.col(step) if isinstance(step, str) else F.lit(step)
+    start = anchor.select(*keys, epoch_us(ts).alias("_a"), _width(step).alias("_w"))
     both = anchor.select(*keys, ts, *cols).unionByName(trajectory.select(*keys, ts, *cols))
-    start = anchor.select(*keys, epoch_us(ts).alias("_a"))
     placed = both.join(start, list(keys))
-    slot = floor_div(epoch_us(ts) - F.col("_a"), width)
-    binned = placed.groupBy(*keys, "_a", slot.alias("_slot")).agg(
-        *[F.avg(c).alias(c) for c in cols], F.max(epoch_us(ts)).alias("_latest"))
-    reach = binned.groupBy(*keys, "_a").agg(F.max("_slot").alias("_top"),
-                                            F.max("_latest").alias("_end"))
-    grid = reach.select(*keys, "_a", "_end",
-                        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_top"))).alias("_slot"))
-    dense = grid.join(binned.drop("_latest", "_a"), [*keys, "_slot"], "left")
+    slot = floor_div(epoch_us(ts) - F.col("_a"), F.col("_w"))
+    binned = placed.groupBy(*keys, "_a", "_w", slot.alias("_slot")).agg(
+        *[F.avg(c).alias(c) for c in cols], F.max(epoch_us(ts)).alias("_end"))
+    # every known slot also opens the empty ones up to the next known slot
+    w = W.partitionBy(*keys).orderBy("_slot")
+    until = F.coalesce(F.lead("_slot").over(w) - 1, F.col("_slot"))
+    spread = binned.withColumn("_until", until).withColumn(
+        "_end", F.max("_end").over(W.partitionBy(*keys))).withColumn(
+        "_own", F.col("_slot")).withColumn("_slot", F.explode(F.sequence("_own", "_until")))
+    dense = spread.withColumns({c: F.when(F.col("_slot") == F.col("_own"), F.col(c)) for c in cols})
     filled = interpolate(dense, keys, "_slot", cols, limit=1 << 30)
-    stamp = F.col("_a") + F.col("_slot") * F.lit(width)
+    stamp = F.col("_a") + F.col("_slot") * F.col("_w")
     return filled.filter((F.col("_slot") > 0) & (stamp <= F.col("_end"))).select(
         *keys, from_us(stamp).alias(ts), *cols)
 

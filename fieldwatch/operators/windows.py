@@ -234,21 +234,18 @@ def decayed_sums(df: DataFrame, keys: Sequence[str], ts: str, cols: Mapping[str,
     up, down = F.pow(F.lit(d), -F.col("_o")), F.pow(F.lit(d), F.col("_o"))
     df = df.withColumns({f"_l_{n}": down * F.sum(F.coalesce(F.col(c), F.lit(0)) * up).over(w)
                          for n, c in cols.items()})
-    # a block's total as of its last hour slot, even where the series ends earlier
+    # what an earlier block is worth at its last hour slot, even where the series ends before;
+    # every row of a block shares these frames, so each is evaluated once per block
     ends = F.pow(F.lit(d), F.lit(float(block_hours - 1)) - F.col("_o"))
-    totals = df.groupBy(*keys, "_hb").agg(*[
-        F.sum(F.coalesce(F.col(c), F.lit(0)) * ends).alias(f"_t_{n}") for n, c in cols.items()])
     step = d ** block_hours
-    far = []
-    for n in cols:
-        past = F.lit(0.0)
+    carried = {}
+    for n, c in cols.items():
+        worth, total = F.coalesce(F.col(c), F.lit(0)) * ends, F.lit(0.0)
         for back in (1, 2, 3):
             one = W.partitionBy(*keys).orderBy("_hb").rangeBetween(-back, -back)
-            past = past + F.lit(step ** (back - 1)) * F.coalesce(
-                F.sum(f"_t_{n}").over(one), F.lit(0.0))
-        far.append(past.alias(f"_c_{n}"))
-    carried = totals.select(*keys, "_hb", *far)
-    df = df.join(carried, [*keys, "_hb"])
+            total = total + F.lit(step ** (back - 1)) * F.coalesce(F.sum(worth).over(one), F.lit(0.0))
+        carried[f"_c_{n}"] = total
+    df = df.withColumns(carried)
     return df.withColumns({n: F.col(f"_l_{n}") + F.col(f"_c_{n}") * F.lit(d) * down
                            for n in cols}).drop(
         "_hb", "_o", *[f"_{k}_{n}" for k in "lc" for n in cols])

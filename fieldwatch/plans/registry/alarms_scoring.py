@@ -8,6 +8,7 @@ from ... import constants as K
 from ...operators import aggregates as A
 from ...operators import scoring as S
 from ...operators.cleaning import categorise, keyword_flags
+from ...session import durable_checkpoint
 from .base import KEYS, alarms, cte, query, readings, table
 from .grid import counts, filled
 from .segments import alarm_events
@@ -321,6 +322,13 @@ def scored(spark, sf):
     return S.health_scores(readings(spark, sf), alarms(spark, sf), KEYS, reading_order=["event_id"])
 
 
+def gold_hourly(spark, sf):
+    """The hourly score table as its readers meet it: computed once and materialised."""
+    keep = ["overall_site_health", *K.SUBSYSTEM_HEALTH, "main_risk_driver", "overall_site_health_trend_24h",
+            *[f"{c}_trend_24h" for c in K.SUBSYSTEM_HEALTH]]
+    return durable_checkpoint(scored(spark, sf).select("site_id", "timestamp", *keep))
+
+
 _H12 = "overall_site_risk overall_site_health main_driver_share"
 
 
@@ -388,4 +396,4 @@ cte("snapshot", "last_hour", "SELECT *, " + _api("score") + """ AS status,
 
 @query("h18_snapshot", "snapshot", "SELECT * EXCLUDE (change) FROM snapshot", "score")
 def h18(spark, sf):
-    return S.snapshot(scored(spark, sf), KEYS)
+    return S.snapshot(gold_hourly(spark, sf), KEYS)

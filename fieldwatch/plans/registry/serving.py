@@ -9,7 +9,7 @@ from ...operators import hourgrid as H
 from ...operators import maintenance as M
 from ...sources import layers
 from .. import serving as Q
-from .alarms_scoring import scored
+from .alarms_scoring import gold_hourly
 from .base import KEYS, cte, query, readings, schedule, table
 from .episodes import _window, _hist, _STATS, actions, eps, units
 from .maintenance import AS_OF, calendar, reminder_log
@@ -28,7 +28,7 @@ cte("overview", "last_hour day_before", " UNION ALL ".join(
 SELECT *, CASE WHEN score >= 90 THEN 'healthy' WHEN score >= 60 THEN 'watch' ELSE 'critical' END AS status FROM overview""",
        "score previous_score shift_days")
 def q1(spark, sf):
-    return Q.overview(scored(spark, sf), layers.gold_meta(readings(spark, sf), KEYS), KEYS)
+    return Q.overview(gold_hourly(spark, sf), layers.gold_meta(readings(spark, sf), KEYS), KEYS)
 
 
 @query("q2_history", "scored", """
@@ -39,7 +39,7 @@ FROM (SELECT site_id, date_trunc('day', timestamp)::TIMESTAMP AS day, avg(overal
 WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY day DESC) <= 7""", "global_score environment energy battery")
 def q2(spark, sf):
-    return Q.history(scored(spark, sf), KEYS, "7d")
+    return Q.history(gold_hourly(spark, sf), KEYS, "7d")
 
 
 # --- forecast points of the persistence baseline -----------------------------------------
@@ -78,7 +78,7 @@ SELECT site_id, horizon, timestamp, round_even(value * 100, 0) / 100 AS value, r
 
 
 def points(spark, sf, hourly=None):
-    hourly = hourly if hourly is not None else scored(spark, sf)
+    hourly = hourly if hourly is not None else gold_hourly(spark, sf)
     slim = hourly.select("site_id", "timestamp", "overall_site_health")
     return FC.forecast_points(slim, FC.persistence_trajectory(slim, KEYS, 720, SIGMA), KEYS)
 
@@ -131,7 +131,7 @@ FROM last_hour l LEFT JOIN (SELECT * FROM crossings WHERE horizon = '7d' QUALIFY
 
 
 def faults(spark, sf):
-    hourly = scored(spark, sf)
+    hourly = gold_hourly(spark, sf)
     return Q.predicted_faults(hourly, Q.forecast(lifted(spark, sf, hourly), "7d"), KEYS)
 
 
@@ -155,7 +155,7 @@ UNION ALL SELECT p.site_id, p.timestamp, '{d}', round_even(l.{c} * 10, 0) / 10,
        round_even(least(100, l.{c} + (upper - value)) * 10, 0) / 10, true FROM points p JOIN last_hour l ON l.site_id = p.site_id
 WHERE p.is_forecast AND horizon = '7d'""" for d, c in Q.DOMAINS.items()), "value lower upper")
 def q5(spark, sf):
-    hourly = scored(spark, sf)
+    hourly = gold_hourly(spark, sf)
     return Q.subscore_forecast(hourly, Q.forecast(points(spark, sf, hourly), "7d"), KEYS)
 
 
@@ -237,4 +237,4 @@ def q10_calendar(spark, sf):
 @query("s13_latest_hour", "last_hour", "SELECT site_id, timestamp, overall_site_health FROM last_hour", "overall_site_health")
 def s13(spark, sf):
     from ...operators.scoring import latest_row
-    return latest_row(scored(spark, sf).select("site_id", "timestamp", "overall_site_health"), KEYS)
+    return latest_row(gold_hourly(spark, sf).select("site_id", "timestamp", "overall_site_health"), KEYS)
