@@ -1 +1,283 @@
+"""A17, I3, M1-M18 on the driver's tables.
 
+Learned models have no SQL counterpart (their random draws and fits are their own); the
+protocol around them (splits, medians, metrics, thresholds) has.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ... import constants as K
+from ...models import hmm, iforest
+from ...operators import aggregates as A
+from ...operators import episodes as E
+from ...operators import forecasting as FC
+from ...operators import hourgrid as H
+from ...operators import quantiles as Q
+from ...operators import segments as G
+from ...operators import windows as W
+from ...session import durable_checkpoint
+from .alarms_scoring import events, scored
+from .base import BLOCK, GAP, KEYS, cte, query, readings, table
+from .grid import filled
+from .segments import segmented
+from .windows import features
+
+cte("train_hours", "filled", """
+SELECT * FROM filled QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY timestamp) <= floor(count(*) OVER (PARTITION BY site_id) * 0.7::DOUBLE)""")
+cte("medians", "train_hours", """
+SELECT site_id, quantile_cont(temperature, 0.5) AS temperature, quantile_cont(humidity, 0.5) AS humidity FROM train_hours GROUP BY site_id""")
+
+
+def _medians(spark, sf):
+    train = W.chrono_split(filled(spark, sf), KEYS, "timestamp").filter("split = 'train'")
+    return A.feature_medians(train, KEYS, ["temperature", "humidity"])
+
+
+@query("a17_feature_medians", "medians", "SELECT * FROM medians", "temperature humidity")
+def a17(spark, sf):
+    return _medians(spark, sf)
+
+
+@query("i3_impute_median", "filled medians", """
+SELECT f.site_id, timestamp, coalesce(f.temperature, m.temperature) AS temperature, coalesce(f.humidity, m.humidity) AS humidity
+FROM filled f JOIN medians m USING (site_id)""", "temperature humidity")
+def i3(spark, sf):
+    rows = filled(spark, sf).select("site_id", "timestamp", "temperature", "humidity")
+    return A.impute_median(rows, _medians(spark, sf), KEYS, ["temperature", "humidity"])
+
+
+@query("m1_standardise", "readings", """
+SELECT event_id, (temperature - avg(temperature) OVER ()) / stddev_pop(temperature) OVER () AS temperature,
+       (humidity - avg(humidity) OVER ()) / stddev_pop(humidity) OVER () AS humidity FROM readings""", "temperature humidity")
+def m1(spark, sf):
+    r = readings(spark, sf).select("event_id", "temperature", "humidity")
+    cols = ["temperature", "humidity"]
+    return hmm.apply_scaler(r, cols, hmm.fit_scaler(r, cols))
+
+
+@query("m1_standardise_embeddings", None, """
+SELECT vec_id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b
+FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)""", "a b")
+def m1_embeddings(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"),
+                                                 F.col("embedding")[1].cast("double").alias("b"))
+    return hmm.apply_scaler(rows, ["a", "b"], hmm.fit_scaler(rows, ["a", "b"]))
+
+
+# --- hidden states: short training runs, whole tables ------------------------------------
+_STATE = ["temperature", "humidity", "temperature_mean_short", "humidity_mean_short", "temperature_std_short"]
+_BOUNDS = {"temperature": (5.0, 96.0), "humidity": (10.0, 90.0)}
+
+
+def _sequences(spark, sf):
+    rows = features(spark, sf).withColumn("label", (F.col("temperature") >= 96).cast("int"))
+    seqs = G.add_sequences(rows, KEYS, "ts", _STATE, GAP, block_seconds=BLOCK)
+    return durable_checkpoint(seqs.select(*KEYS, "event_id", "ts", "segment_id", "sequence_id", "sequence_position",
+                                          "label", *_STATE))
+
+
+def _fit_once(seqs, k=3):
+    scaler = hmm.fit_scaler(seqs, _STATE)
+    params, loglik = hmm.fit_hmm(hmm.apply_scaler(seqs, _STATE, scaler), KEYS, _STATE, k, seeds=[0], iters=4)
+    return hmm.HmmModel(params, scaler, _STATE, loglik, True, [])
+
+
+def _decoded(seqs, model):
+    return hmm.decode_rows(seqs, KEYS, model)
+
+
+@query("m2_fit_hmm")
+def m2(spark, sf):
+    model = _fit_once(_sequences(spark, sf))
+    rows = [(i, float(model.params.start[i]), *[float(v) for v in model.params.mean[i][:2]]) for i in range(model.params.k)]
+    return spark.createDataFrame(rows, "state int, start double, temperature double, humidity double")
+
+
+@query("m3_decode_states")
+def m3(spark, sf):
+    seqs = _sequences(spark, sf)
+    return _decoded(seqs, _fit_once(seqs)).select("site_id", "event_id", "state")
+
+
+@query("m4_anomalous_states")
+def m4(spark, sf):
+    seqs = _sequences(spark, sf)
+    stats = A.state_stats(_decoded(seqs, _fit_once(seqs)), "state", [], _BOUNDS)
+    worst = F.greatest(*[F.col(c) for c in stats.columns if c.startswith("prop_")])
+    return stats.withColumn("anomalous", worst >= 0.10)
+
+
+@query("m5_select_hmm")
+def m5(spark, sf):
+    model, report = hmm.select_hmm(_sequences(spark, sf), KEYS, "ts", _STATE, "label", _BOUNDS, ks=[2, 3],
+                                   cutoffs=K.HMM_CUTOFFS, seeds=[0], iters=3)
+    return spark.createDataFrame([(int(report["n_states"]), float(report["cutoff"]), float(report["validation_f1"]),
+                                   float(report["test_f1"]), len(model.anomalous))],
+                                 "n_states int, cutoff double, validation_f1 double, test_f1 double, n_anomalous int")
+
+
+@query("e3_detect")
+def e3(spark, sf):
+    """Readings -> features -> sequences -> states -> runs -> episodes."""
+    seqs = _sequences(spark, sf)
+    model = _fit_once(seqs)
+    stats = A.state_stats(_decoded(seqs, model), "state", [], _BOUNDS)
+    model.anomalous = hmm.anomalous_states(stats, 0.10)
+    r = readings(spark, sf)
+    bounds = Q.tukey(r, KEYS, "temperature").select(*KEYS, "mild_lower", "mild_upper", "extreme_lower", "extreme_upper")
+    rows = durable_checkpoint(_decoded(seqs, model)).join(bounds, KEYS)
+    names = {n: n for n in ("mild_lower", "mild_upper", "extreme_lower", "extreme_upper")}
+    return E.state_episodes(rows, KEYS, "ts", "temperature", names, H.observation_bounds(r, KEYS, "ts"),
+                            F.concat(F.lit("U"), F.col("site_id")), block_seconds=BLOCK)
+
+
+@query("m6_isolation_forest")
+def m6(spark, sf):
+    ev = durable_checkpoint(events(spark, sf))
+    forest = iforest.fit_isolation(ev, row_id=["site_id", "alarm_event"], trees=60)
+    return iforest.score_isolation(ev, forest).select("site_id", "alarm_event", "is_anomaly", "score")
+
+
+@query("m6_isolation_embeddings")
+def m6_embeddings(spark, sf):
+    cols = [f"e{i}" for i in range(8)]
+    rows = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].alias(c) for i, c in enumerate(cols)])
+    forest = iforest.fit_isolation(rows, cols, row_id=["vec_id"], trees=40)
+    return iforest.score_isolation(rows, forest).select("vec_id", "is_anomaly", "score")
+
+
+# --- forecast protocol ---------------------------------------------------------------------
+_M10 = ("mae rmse r2 delta_mae major_drop_mae severe_drop_mae high_risk_precision high_risk_recall predicted_min predicted_max residual_std")
+
+
+@query("m10_eval_persistence", "scored", """
+SELECT site_id, count(*) AS n, avg(abs(a - c)) AS mae, sqrt(avg((a - c) * (a - c))) AS rmse, 1 - sum((a - c) * (a - c)) / (var_pop(a) * count(*)) AS r2,
+       avg(abs(a - c)) AS delta_mae, avg(abs(a - c)) FILTER (WHERE a - c <= -10) AS major_drop_mae, avg(abs(a - c)) FILTER (WHERE a - c <= -20) AS severe_drop_mae,
+       count(*) FILTER (WHERE a < 60 AND c < 60) / nullif(count(*) FILTER (WHERE c < 60), 0) AS high_risk_precision,
+       count(*) FILTER (WHERE a < 60 AND c < 60) / nullif(count(*) FILTER (WHERE a < 60), 0) AS high_risk_recall,
+       min(c) AS predicted_min, max(c) AS predicted_max, stddev_pop(a - c) AS residual_std
+FROM (SELECT site_id, overall_site_health AS c, lead(overall_site_health, 6) OVER (PARTITION BY site_id ORDER BY timestamp) AS a FROM scored)
+WHERE a IS NOT NULL GROUP BY site_id""", _M10)
+def m10(spark, sf):
+    rows = W.targets(scored(spark, sf), KEYS, "timestamp").filter("target_health_6h IS NOT NULL")
+    return FC.eval_delta(rows, "overall_site_health", "target_health_6h", F.lit(0.0), KEYS)
+
+
+cte("probs", "", """
+SELECT CASE WHEN value >= 80 THEN 1 ELSE 0 END AS y, round((0.3 * (value / 500) + 0.7 * (user_id % 50) / 50.0)::DOUBLE, 3) AS p FROM events""")
+
+
+def _probs(spark, sf):
+    v = F.col("value")
+    return table(spark, sf, "events").select((v >= 80).cast("int").alias("y"), F.round(
+        0.3 * (v / 500) + 0.7 * (F.col("user_id") % 50) / 50.0, 3).alias("p"))
+
+
+@query("m11_eval_classifier", "probs", """
+SELECT 0.4::DOUBLE AS threshold, tp / said AS precision, tp / real AS recall, 2.0 * tp / (said + real) AS f1, CAST(said AS BIGINT) AS predicted_alerts,
+       CAST(real AS BIGINT) AS actual_events, roc_auc, pr_auc
+FROM (SELECT count(*) FILTER (WHERE p >= 0.4 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.4) AS said, count(*) FILTER (WHERE y = 1) AS real FROM probs)
+CROSS JOIN (SELECT (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+                   / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS roc_auc
+            FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM probs))
+CROSS JOIN (SELECT sum(pos * tp / (tp + fp)) / sum(pos) AS pr_auc FROM (SELECT pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp
+            FROM (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM probs GROUP BY p) WINDOW w AS (ORDER BY p DESC)))""",
+       "threshold precision recall f1 roc_auc pr_auc")
+def m11(spark, sf):
+    return FC.eval_classifier(_probs(spark, sf), "y", "p", 0.4)
+
+
+@query("m9_threshold_sweep", "probs", """
+SELECT t::DOUBLE AS threshold, coalesce(tp / nullif(said, 0), 0) AS precision, tp / real AS recall, 2.0 * tp / (said + real) AS f1,
+       CAST(said AS BIGINT) AS predicted_alerts, CAST(real AS BIGINT) AS actual_events
+FROM (SELECT t, count(*) FILTER (WHERE p >= t AND y = 1) AS tp, count(*) FILTER (WHERE p >= t) AS said, count(*) FILTER (WHERE y = 1) AS real
+      FROM probs CROSS JOIN (SELECT unnest([%s]::DOUBLE[]) AS t) GROUP BY t)""" % ", ".join(map(str, K.DROP_THRESHOLDS)),
+       "threshold precision recall f1")
+def m9_sweep(spark, sf):
+    return FC.threshold_metrics(_probs(spark, sf), "y", "p", K.DROP_THRESHOLDS)
+
+
+@query("m8_drop_weights", "scored", """
+SELECT site_id, timestamp, CASE WHEN d <= -20 THEN 2.5 WHEN d <= -10 THEN 1.75 WHEN d <= -5 THEN 1.25 ELSE 1.0 END::DOUBLE AS weight
+FROM (SELECT site_id, timestamp, lead(overall_site_health, 6) OVER (PARTITION BY site_id ORDER BY timestamp) - overall_site_health AS d FROM scored)
+WHERE d IS NOT NULL""", "weight")
+def m8_weights(spark, sf):
+    rows = W.targets(scored(spark, sf), KEYS, "timestamp").filter("target_health_change_6h IS NOT NULL")
+    return rows.select("site_id", "timestamp", FC.drop_weight().alias("weight"))
+
+
+_SOURCES = ["overall_site_health", "energy_risk_score"]
+
+
+def frame_hourly(spark, sf):
+    keep = [c for c in dict.fromkeys([*K.CURRENT_FEATURES, *K.TRAJECTORY_SOURCES])]
+    return durable_checkpoint(scored(spark, sf).select("site_id", "timestamp", *keep))
+
+
+@query("m12_model_frame")
+def m12(spark, sf):
+    """Every feature of every source (about 1,100 columns), reduced to its filled-in count."""
+    frame, names = FC.model_frame(frame_hourly(spark, sf), KEYS)
+    wide = frame.groupBy(*KEYS).agg(*[F.count(n).alias(n) for n in names])
+    return wide.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("filled")) for n in names])
+                                        ).alias("r")).select(*KEYS, "r.*")
+
+
+@query("m13_pruned_frame")
+def m13(spark, sf):
+    wanted = ["overall_site_health_slope_6h", "energy_risk_score_rollmean_12h"]
+    assert FC.required_sources(wanted) == _SOURCES
+    frame, _ = FC.model_frame(frame_hourly(spark, sf), KEYS, FC.required_sources(wanted))
+    return frame.select("site_id", "timestamp", *wanted)
+
+
+def _fitted(spark, sf, weight=None):
+    hourly = frame_hourly(spark, sf)
+    frame, names = FC.model_frame(hourly, KEYS, _SOURCES)
+    return hourly, frame, FC.fit_delta(frame, names, KEYS, counts=(10, 20), rounds=10, weight=weight)
+
+
+def _metric_rows(spark, model, variant):
+    m = model.metrics
+    rows = [(variant, k, float(v[x])) for k, v in (("selected", m["selected"]), ("persistence", m["persistence"])) for x in ("mae",)]
+    rows += [(variant, f"validation_top_{n}", float(v)) for n, v in m["validation_mae_by_count"].items()]
+    return spark.createDataFrame(rows, "variant string, metric string, value double")
+
+
+@query("m7_fit_delta")
+def m7(spark, sf):
+    return _metric_rows(spark, _fitted(spark, sf)[2], "plain")
+
+
+@query("m8_fit_delta_weighted")
+def m8(spark, sf):
+    return _metric_rows(spark, _fitted(spark, sf, FC.drop_weight())[2], "weighted")
+
+
+@query("m9_fit_drop")
+def m9(spark, sf):
+    _, frame, model = _fitted(spark, sf)
+    _, threshold, report = FC.fit_drop(frame, model, trees=20)
+    rows = [(k, float(v)) for k, v in report.items() if isinstance(v, (int, float))]
+    return spark.createDataFrame(rows or [("untrained", 0.0)], "metric string, value double")
+
+
+@query("m14_predict_next")
+def m14(spark, sf):
+    hourly, _, model = _fitted(spark, sf)
+    return FC.predict_next(hourly, model)
+
+
+@query("m15_forecast_recursive")
+def m15(spark, sf):
+    hourly, _, model = _fitted(spark, sf)
+    return FC.forecast_recursive(hourly, model, 720)
+
+
+@query("m16_model_forecast_points")
+def m16(spark, sf):
+    hourly, _, model = _fitted(spark, sf)
+    slim = hourly.select("site_id", "timestamp", "overall_site_health")
+    return FC.forecast_points(slim, durable_checkpoint(FC.forecast_recursive(hourly, model, 720)), KEYS)

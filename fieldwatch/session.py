@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,26 @@ def build_session(app: str = "fieldwatch", master: str | None = None, **extra: s
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on (naive UTC time)."""
+    """Apply what the operators rely on: naive UTC time, the package on the executors."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="fieldwatch-package-")) / "fieldwatch-package"
+    context.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+    _shipped.add(context.applicationId)
+
+
 def durable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the cluster's shared checkpoint folder.
 
