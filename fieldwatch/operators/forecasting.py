@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numeric import clip, finite, flag, present
+from ..session import durable_checkpoint
 from .aggregates import feature_medians, impute_median, tail
 from .hourgrid import HOUR, regrid, resample_end
 from .segments import streaks
@@ -227,44 +228,49 @@ def fit_delta(frame: DataFrame, features: Sequence[str], keys: Sequence[str],
     n = rows.count()
     if n < min_rows:
         raise ValueError(f"too little history to train on: {n} usable rows, {min_rows} needed")
-    keep = list(dict.fromkeys([*keys, HOUR, "overall_site_health", "target_health_6h", TARGET,
-                               "major_drop_6h", *features]))
-    rows = chrono_split(rows.select(*keep), keys, HOUR).persist()
+    keep = list(dict.fromkeys([*keys, HOUR, "overall_site_health", "target_health_6h", TARGET, *features]))
+    split = chrono_split(rows.select(*keep), keys, HOUR)
+    train = split.filter("split = 'train'")
+    features = drop_all_null(train, features)
+    medians = feature_medians(train, keys, features).persist()
+    rows = split.withColumn("_current", F.col("overall_site_health"))
+    rows = _ready(rows, medians, keys, features).select(
+        "_x", "split", "_current", "target_health_6h", TARGET,
+        (weight if weight is not None else F.lit(1.0)).alias("_w"),
+        (F.col("split") == "validation").alias("_val")).persist()
     try:
-        train = rows.filter("split = 'train'")
-        features = drop_all_null(train, features)
-        medians = feature_medians(train, keys, features)
-        weighted = rows.withColumn("_w", weight if weight is not None else F.lit(1.0)).withColumn(
-            "_val", F.col("split") == "validation")
-
         def fit(cols: Sequence[str], tree_depth: int):
-            ready = _ready(weighted.filter("split != 'test'"), medians, keys, cols)
-            booster = GBTRegressor(featuresCol="_x", labelCol=TARGET, weightCol="_w",
+            part = VectorSlicer(inputCol="_x", outputCol="_s", indices=[features.index(c) for c in cols])
+            booster = GBTRegressor(featuresCol="_s", labelCol=TARGET, weightCol="_w",
                                    validationIndicatorCol="_val", maxIter=rounds, stepSize=rate,
                                    maxDepth=tree_depth, subsamplingRate=0.8, minInstancesPerNode=8, seed=seed)
-            return booster.fit(ready.select("_x", TARGET, "_w", "_val"))
+            return part, booster.fit(part.transform(rows.filter("split != 'test'")))
 
-        def score(model, cols: Sequence[str], part: str) -> dict:
-            done = model.transform(_ready(rows.filter(F.col("split") == part), medians, keys, cols))
-            return eval_delta(done, "overall_site_health", "target_health_6h", "prediction").first().asDict()
+        def score(part, model, name: str) -> dict:
+            done = model.transform(part.transform(rows.filter(F.col("split") == name)))
+            return eval_delta(done, "_current", "target_health_6h", "prediction").first().asDict()
 
-        wide = fit(features, rank_depth)
+        wide = fit(features, rank_depth)[1]
         best, by_count = None, {}
         for count in dict.fromkeys(min(c, len(features)) for c in counts):
             chosen = top_features(wide.featureImportances.toArray(), features, count)
-            model = fit(chosen, depth)
-            by_count[count] = score(model, chosen, "validation")["mae"]
-            if best is None or by_count[count] < by_count[len(best[1])]:
-                best = (model, chosen)
-        test = score(*best, "test")
-        persistence = eval_delta(rows.filter("split = 'test'").withColumn("_zero", F.lit(0.0)),
-                                 "overall_site_health", "target_health_6h", "_zero").first().asDict()
+            part, model = fit(chosen, depth)
+            by_count[count] = score(part, model, "validation")["mae"]
+            if best is None or by_count[count] < by_count[len(best[2])]:
+                best = (part, model, chosen)
+        test = score(best[0], best[1], "test")
+        persistence = eval_delta(rows.filter("split = 'test'"), "_current", "target_health_6h",
+                                 F.lit(0.0)).first().asDict()
         sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
-        return DeltaModel(best[0], list(best[1]), medians, list(keys), test["residual_std"] or 1.0, {
+        # served models read a plain feature vector
+        best[1].setFeaturesCol("_x")
+        chosen = durable_checkpoint(medians.select(*keys, *best[2]))
+        return DeltaModel(best[1], list(best[2]), chosen, list(keys), test["residual_std"] or 1.0, {
             "selected": test, "persistence": persistence, "validation_mae_by_count": by_count,
             "mae_improvement": persistence["mae"] - test["mae"]}, sizes)
     finally:
         rows.unpersist()
+        medians.unpersist()
 
 
 def fit_drop(frame: DataFrame, model: DeltaModel, trees: int = 100, depth: int = 8, seed: int = 42):
@@ -307,15 +313,12 @@ def predict_next(hourly: DataFrame, model: DeltaModel) -> DataFrame:
     frame, _ = model_frame(recent, model.keys, required_sources(model.features))
     last = tail(frame.select(*dict.fromkeys([*model.keys, HOUR, "overall_site_health", *model.features])),
                 model.keys, HOUR, 1)
-    out = model.model.transform(_ready(last, model.medians, model.keys, model.features))
-    cols = [*model.keys, HOUR, F.col("prediction").alias("predicted_delta"),
-            clip(F.col("overall_site_health") + F.col("prediction"), 0.0, 100.0).alias("predicted_health")]
+    out = model.model.transform(_ready(last, model.medians, model.keys, model.features)) \
+               .withColumnRenamed("prediction", "predicted_delta")
+    health = clip(F.col("overall_site_health") + F.col("predicted_delta"), 0.0, 100.0)
+    cols = [*model.keys, HOUR, "predicted_delta", health.alias("predicted_health")]
     if model.drop_model is not None:
-        out = model.drop_model.transform(out.drop("prediction").withColumnRenamed("predicted_delta", "_d")
-                                         if "predicted_delta" in out.columns else
-                                         out.withColumnRenamed("prediction", "_delta"))
-        cols[len(model.keys) + 1] = F.col("_delta").alias("predicted_delta")
-        cols[len(model.keys) + 2] = clip(F.col("overall_site_health") + F.col("_delta"), 0.0, 100.0).alias("predicted_health")
+        out = model.drop_model.transform(out)
         cols.append(vector_to_array("probability")[1].alias("drop_probability"))
     return out.select(*cols)
 
