@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -224,12 +225,13 @@ def fit_delta(frame: DataFrame, features: Sequence[str], keys: Sequence[str],
     Splits are chronological per key and medians come from training rows only.  Boosting
     stops early on the validation rows.
     """
-    rows = usable_rows(frame)
-    n = rows.count()
+    keep = list(dict.fromkeys([*keys, HOUR, "overall_site_health", "target_health_6h", TARGET, *features]))
+    # the wide frame is derived once; everything below reads the materialised rows
+    split = durable_checkpoint(chrono_split(usable_rows(frame.select(*dict.fromkeys(
+        [*keep, *K.REQUIRED_FEATURES]))).select(*keep), keys, HOUR))
+    n = split.count()
     if n < min_rows:
         raise ValueError(f"too little history to train on: {n} usable rows, {min_rows} needed")
-    keep = list(dict.fromkeys([*keys, HOUR, "overall_site_health", "target_health_6h", TARGET, *features]))
-    split = chrono_split(rows.select(*keep), keys, HOUR)
     train = split.filter("split = 'train'")
     features = drop_all_null(train, features)
     medians = feature_medians(train, keys, features).persist()
@@ -279,8 +281,9 @@ def fit_drop(frame: DataFrame, model: DeltaModel, trees: int = 100, depth: int =
     Returns ``(classifier, threshold, test metrics)`` or ``(None, None, reason)`` when the
     training rows hold a single class.
     """
-    rows = frame.na.drop(subset=[*K.REQUIRED_FEATURES, "major_drop_6h"])
     keep = list(dict.fromkeys([*model.keys, HOUR, "major_drop_6h", *model.features]))
+    rows = frame.select(*dict.fromkeys([*keep, *K.REQUIRED_FEATURES])).na.drop(
+        subset=[*K.REQUIRED_FEATURES, "major_drop_6h"])
     rows = chrono_split(rows.select(*keep), model.keys, HOUR)
     ready = _ready(rows, model.medians, model.keys, model.features).select(
         "_x", "split", F.col("major_drop_6h").cast("double").alias("_y")).persist()
@@ -496,3 +499,26 @@ def forecast_points(hourly: DataFrame, trajectory: DataFrame, keys: Sequence[str
     return past.unionByName(ahead).select(
         *group, "timestamp", *[present(F.col(c), 2).alias(c) for c in ("value", "lower", "upper")],
         "is_forecast")
+
+
+# --- storage ------------------------------------------------------------------------------
+def save_model(model: DeltaModel, path: str, **stamps: str) -> None:
+    """Spark ML artefacts plus one metadata row (features, sizes, metrics, versions)."""
+    spark = model.medians.sparkSession
+    model.model.write().overwrite().save(f"{path}/regressor")
+    model.medians.write.mode("overwrite").parquet(f"{path}/medians")
+    if model.drop_model is not None:
+        model.drop_model.write().overwrite().save(f"{path}/classifier")
+    meta = {"features": model.features, "keys": model.keys, "residual_std": model.residual_std,
+            "metrics": model.metrics, "n_rows": model.n_rows, "drop_threshold": model.drop_threshold,
+            "has_classifier": model.drop_model is not None, "score_version": K.SCORE_VERSION,
+            "weight_version": K.WEIGHT_VERSION, **stamps}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def load_model(spark, path: str) -> DeltaModel:
+    meta = json.loads(spark.read.parquet(f"{path}/metadata").first()["meta"])
+    drop = RandomForestClassificationModel.load(f"{path}/classifier") if meta["has_classifier"] else None
+    return DeltaModel(GBTRegressionModel.load(f"{path}/regressor"), meta["features"],
+                      spark.read.parquet(f"{path}/medians"), meta["keys"], meta["residual_std"], meta["metrics"],
+                      meta["n_rows"], drop, meta["drop_threshold"])

@@ -176,7 +176,7 @@ def _probs(spark, sf):
 
 
 @query("m11_eval_classifier", "probs", """
-SELECT 0.4::DOUBLE AS threshold, tp / said AS precision, tp / real AS recall, 2.0 * tp / (said + real) AS f1, CAST(said AS BIGINT) AS predicted_alerts,
+SELECT 0.4::DOUBLE AS threshold, coalesce(tp / nullif(said, 0), 0) AS precision, tp / real AS recall, 2.0 * tp / (said + real) AS f1, CAST(said AS BIGINT) AS predicted_alerts,
        CAST(real AS BIGINT) AS actual_events, roc_auc, pr_auc
 FROM (SELECT count(*) FILTER (WHERE p >= 0.4 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.4) AS said, count(*) FILTER (WHERE y = 1) AS real FROM probs)
 CROSS JOIN (SELECT (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
