@@ -140,7 +140,6 @@ def feature_medians(train: DataFrame, keys: Sequence[str], cols: Sequence[str])
 
 def impute_median(df: DataFrame, medians: DataFrame, keys: Sequence[str],
                   cols: Sequence[str]) -> DataFrame:
-    known = medians.select(*keys, *[F.col(c).alias(f"_m_{c}") for c in cols])
-    joined = df.join(known, list(keys), "left") if keys else df.crossJoin(F.broadcast(known))
-    return joined.withColumns({c: F.coalesce(finite(c), f"_m_{c}") for c in cols}).drop(
-        *[f"_m_{c}" for c in cols])
+    known = medians.select(*keys, F.struct(*[F.col(c).alias(c) for c in cols]).alias("_m"))
+    joined = df.join(known, list(keys), "left") if keys else df.withColumn("_m", known.scalar())
+    return joined.withColumns({c: F.coalesce(finite(c), F.col(f"_m.{c}")) for c in cols}).drop("_m")

@@ -23,6 +23,7 @@ from ..session import durable_checkpoint
 from .aggregates import feature_medians, impute_median, tail
 from .hourgrid import HOUR, regrid, resample_end
 from .segments import streaks
+from .timeblocks import BLOCK, carry
 from .windows import (base_columns, calendar_features, chrono_split, cross_features, targets,
                       trajectory_columns)
 
@@ -117,27 +118,28 @@ def threshold_metrics(df: DataFrame, label: str, prob: str, thresholds: Sequence
                           "predicted_alerts", "actual_events")
 
 
-def eval_classifier(df: DataFrame, label: str, prob: str, threshold: float,
-                    bins: int | None = None) -> DataFrame:
+def eval_classifier(df: DataFrame, label: str, prob: str, threshold: float) -> DataFrame:
     """Metrics at ``threshold`` plus ROC-AUC and average precision (NULL for one class).
 
-    Curves come from the counts per distinct probability; ``bins`` bounds their number for
-    continuous scores (the curve then has that many points).
+    Both curves are running totals over the distinct probabilities, highest first, counted
+    slice by slice: only the totals of the (at most 100,001) slices meet in one task.
     """
-    p = F.col(prob) if bins is None else F.floor(F.col(prob) * bins) / bins
-    curve = df.groupBy(p.alias("_p")).agg(F.sum(flag(F.col(label) == 1)).alias("_pos"),
-                                          F.sum(flag(F.col(label) == 0)).alias("_neg"))
-    w = W.partitionBy(F.lit(0)).orderBy(F.col("_p").desc())
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    curve = curve.withColumns({"_tp": F.sum("_pos").over(upto), "_fp": F.sum("_neg").over(upto)})
+    curve = df.groupBy(F.col(prob).alias("_p")).agg(F.sum(flag(F.col(label) == 1)).alias("_pos"),
+                                                    F.sum(flag(F.col(label) == 0)).alias("_neg"))
+    curve = curve.withColumn(BLOCK, -F.floor(F.col("_p") * 100_000)).withColumn("_all", F.lit(0))
+    upto = W.partitionBy("_all", BLOCK).orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, 0)
+    curve = carry(curve, ["_all"], "_p", sums={"_tp0": F.col("_pos"), "_fp0": F.col("_neg")})
+    curve = curve.withColumns({"_tp": F.col("_tp0") + F.sum("_pos").over(upto),
+                               "_fp": F.col("_fp0") + F.sum("_neg").over(upto)})
     # trapezoids under the ROC steps; precision weighted by the recall each step adds
     area = F.sum(F.col("_neg") * (F.col("_tp") - F.col("_pos") / 2.0))
     gain = F.sum(F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp")))
     pos, neg = F.sum("_pos"), F.sum("_neg")
     both = (pos > 0) & (neg > 0)
-    areas = curve.agg(F.when(both, area / (pos * neg)).alias("roc_auc"),
-                      F.when(both, gain / pos).alias("pr_auc"))
-    return threshold_metrics(df, label, prob, [threshold]).crossJoin(F.broadcast(areas))  # one row
+    areas = curve.agg(F.struct(F.when(both, area / (pos * neg)).alias("roc_auc"),
+                               F.when(both, gain / pos).alias("pr_auc")).alias("a"))
+    return threshold_metrics(df, label, prob, [threshold]).withColumn("_a", areas.scalar()).select(
+        "*", "_a.roc_auc", "_a.pr_auc").drop("_a")
 
 
 # --- training ---------------------------------------------------------------------------

@@ -49,17 +49,14 @@ def current_schedule(log: DataFrame, row_id: str = "pm_id", version: str = "vers
     An update or delete of an id never scheduled, or already deleted, has no effect.
     Versions of one id are combined map-side; the log of one id is never gathered.
     """
-    state = F.struct(F.col(version), F.col(op), *[F.col(c) for c in cols])
-    made = F.max(F.when(F.col(op) == "schedule", F.col(version)))
-    first_made = F.min(F.when(F.col(op) == "schedule", F.col(version)))
-    life = log.groupBy(row_id).agg(first_made.alias("_born"), made.alias("_made"))
-    after = log.join(life.filter(F.col("_born").isNotNull()), row_id)
-    # a delete after the last (re)scheduling ends the id for good
-    gone = after.filter((F.col(op) == "delete") & (F.col(version) > F.col("_made"))) \
-                .select(row_id).distinct()
-    newest = after.filter((F.col(op) != "delete") & (F.col(version) >= F.col("_made"))) \
-                  .groupBy(row_id).agg(F.max_by(state, version).alias("_s"))
-    return newest.join(gone, row_id, "left_anti").select(
+    at = lambda cond: F.when(cond, F.col(version))
+    made, gone = F.col(op) == "schedule", F.col(op) == "delete"
+    life = log.groupBy(row_id).agg(
+        F.max(at(made)).alias("_made"), F.max(at(gone)).alias("_gone"),
+        # never older than the latest scheduling, which is one of these versions itself
+        F.max_by(F.struct(*[F.col(c) for c in cols]), at(~gone)).alias("_s"))
+    alive = F.col("_made").isNotNull() & (F.col("_gone").isNull() | (F.col("_gone") < F.col("_made")))
+    return life.filter(alive).select(
         F.format_string("PM-%04d", F.col(row_id)).alias("id"), *[f"_s.{c}" for c in cols])
 
 

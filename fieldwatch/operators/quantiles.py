@@ -43,7 +43,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     ranges = wanted.groupBy(*keys).agg(F.collect_list(
         F.struct("prob", "n", "lo", "hi", "_h", "_k")).alias("_ranges"))  # len(probs) entries
     # values below each bracket only count; values inside it keep their histogram
-    tagged = counts.join(ranges, list(keys)) if keys else counts.crossJoin(F.broadcast(ranges))
+    tagged = counts.join(ranges, list(keys)) if keys else counts.withColumn("_ranges", ranges.scalar())
     tagged = tagged.select(*keys, "_v", "_c", F.explode("_ranges").alias("_r")).select(
         *keys, "_v", "_c", "_r.*").filter(F.col("_v") <= F.col("hi"))
     group = [*keys, "prob", "n", "_h", "_k"]

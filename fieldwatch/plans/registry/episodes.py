@@ -235,8 +235,7 @@ def x3(spark, sf):
     now = F.lit("2026-05-01 10:40:00").cast("timestamp_ntz")
     anchor = rows.agg(F.date_trunc("hour", F.max("start")).cast("timestamp_ntz").alias("_a")).select(
         E.anchor_delta(now, "_a").alias("_d"))
-    joined = rows.crossJoin(F.broadcast(anchor))  # one row
-    return E.shift_time(joined, ["start", "fin"], F.col("_d"), clamp={
+    return E.shift_time(rows.withColumn("_d", anchor.scalar()), ["start", "fin"], F.col("_d"), clamp={
         "fin": F.lit("2026-05-01 10:00:00").cast("timestamp_ntz")}).drop("_d")
 
 
