@@ -105,17 +105,17 @@ def scan_breaks(rows: DataFrame, keys: Sequence[str], state: Column, is_break,
     w = block_window(keys, order=order)
     past, here = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
     cur = F.col("_state")
-    rows = (rows.withColumn("_state", state)
-                .withColumn("_rn", F.row_number().over(w).cast("bigint"))
-                .withColumn("_near", F.last("_state", ignorenulls=True).over(past)))
+    rows = rows.withColumn("_state", state).withColumns({
+        "_rn": F.row_number().over(w).cast("bigint"),
+        "_near": F.last("_state", ignorenulls=True).over(past)})
     inner = F.when(cur.isNotNull() & F.col("_near").isNotNull()
                    & F.coalesce(is_break(F.col("_near"), cur), F.lit(False)), 1).otherwise(0)
     rows = rows.withColumn("_inner", inner)
     marked = F.col("_inner") == 1
     known = F.when(cur.isNotNull(), F.col("_rn"))
-    rows = (rows.withColumn("_opened", F.sum("_inner").over(here))
-                .withColumn("_mark", F.max(F.when(marked, F.col("_rn"))).over(here))
-                .withColumn("_mark_us", F.max(F.when(marked, F.col(US))).over(here)))
+    rows = rows.withColumns({"_opened": F.sum("_inner").over(here),
+                             "_mark": F.max(F.when(marked, F.col("_rn"))).over(here),
+                             "_mark_us": F.max(F.when(marked, F.col(US))).over(here)})
 
     block = rows.groupBy(*keys, BLOCK).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_inner").alias("_n_inner"),
@@ -125,8 +125,8 @@ def scan_breaks(rows: DataFrame, keys: Sequence[str], state: Column, is_break,
         F.max("_mark").alias("_last_mark"), F.max("_mark_us").alias("_last_mark_us"))
     series = W.partitionBy(*keys).orderBy(BLOCK)
     before = series.rowsBetween(W.unboundedPreceding, -1)
-    block = (block.withColumn("_far", F.last("_last", ignorenulls=True).over(before))
-                  .withColumn("_rows_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    block = block.withColumns({"_far": F.last("_last", ignorenulls=True).over(before),
+                               "_rows_before": F.coalesce(F.sum("_n").over(before), F.lit(0))})
     opens = F.col("_first_rn").isNotNull() & F.coalesce(
         is_break(F.col("_far"), F.col("_first.state")), F.lit(False))
     block = block.withColumn("_opens", flag(opens))
@@ -147,12 +147,12 @@ def scan_breaks(rows: DataFrame, keys: Sequence[str], state: Column, is_break,
                       F.when(reached, F.col("_rows_before") + F.col("_first_rn")),
                       F.col("_h_before"))
     head_us = F.coalesce("_mark_us", F.when(reached, F.col("_first_us")), "_h_us_before")
-    return (rows.withColumn("_prev", F.coalesce("_near", "_far"))
-                .withColumn("_break", marked | (reached & (F.col("_rn") == F.col("_first_rn"))))
-                .withColumn("_number", F.col("_before") + F.col("_opened")
-                            + F.when(reached, 1).otherwise(0))
-                .withColumn("_since", F.col("_rows_before") + F.col("_rn") - head)
-                .withColumn("_head_us", head_us)
+    return (rows.withColumns({
+        "_prev": F.coalesce("_near", "_far"),
+        "_break": marked | (reached & (F.col("_rn") == F.col("_first_rn"))),
+        "_number": F.col("_before") + F.col("_opened") + F.when(reached, 1).otherwise(0),
+        "_since": F.col("_rows_before") + F.col("_rn") - head,
+        "_head_us": head_us})
                 .drop("_state", "_rn", "_near", "_inner", "_opened", "_mark", "_mark_us", "_far",
                       "_rows_before", "_opens", "_first_rn", "_first_us", "_before", "_h_before",
                       "_h_us_before"))

@@ -11,6 +11,7 @@ from ...operators import episodes as E
 from ...operators import hourgrid as H
 from ...operators import quantiles as Q
 from ...operators import segments as G
+from ...session import durable_checkpoint
 from .base import BLOCK, GAP, KEYS, alarms, cte, query, readings, table
 from .segments import hysteresis_sql, segmented, with_bounds
 
@@ -64,9 +65,10 @@ FROM episode_runs JOIN bounds USING (site_id)""")
 
 
 def episodes(spark, sf):
-    r = readings(spark, sf)
-    rows = segmented(spark, sf).withColumn(
-        "temperature", F.when(F.col("event_id") % 29 != 0, F.col("temperature")))
+    # the segmented (silver) series has several readers, so it is materialised once
+    r = durable_checkpoint(segmented(spark, sf).select(
+        "site_id", "event_id", "ts", "temperature", "segment_id", "segment_position"))
+    rows = r.withColumn("temperature", F.when(F.col("event_id") % 29 != 0, F.col("temperature")))
     return E.threshold_episodes(
         rows, KEYS, "ts", "temperature", Q.tukey(r, KEYS, "temperature"),
         H.observation_bounds(r, KEYS, "ts"), F.concat(F.lit("U"), F.col("site_id")),
