@@ -22,7 +22,7 @@ from .alarms_scoring import events, scored
 from .base import BLOCK, GAP, KEYS, cte, query, readings, table
 from .grid import filled
 from .segments import segmented
-from .windows import features
+from .windows import features, trajectory_sql
 
 cte("train_hours", "filled", """
 SELECT * FROM filled QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY timestamp) <= floor(count(*) OVER (PARTITION BY site_id) * 0.7::DOUBLE)""")
@@ -225,7 +225,13 @@ def m12(spark, sf):
                                         ).alias("r")).select(*KEYS, "r.*")
 
 
-@query("m13_pruned_frame")
+cte("scored_index", "scored", "SELECT *, CAST(row_number() OVER (PARTITION BY site_id ORDER BY timestamp) AS DOUBLE) AS i FROM scored")
+
+
+@query("m13_pruned_frame", "scored_index", f"""
+SELECT site_id, timestamp, {trajectory_sql('overall_site_health')['overall_site_health_slope_6h']} AS overall_site_health_slope_6h,
+       {trajectory_sql('energy_risk_score')['energy_risk_score_rollmean_12h']} AS energy_risk_score_rollmean_12h FROM scored_index""",
+       "overall_site_health_slope_6h energy_risk_score_rollmean_12h")
 def m13(spark, sf):
     wanted = ["overall_site_health_slope_6h", "energy_risk_score_rollmean_12h"]
     assert FC.required_sources(wanted) == _SOURCES
