@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -46,15 +47,24 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def durable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it.
 
-    The folder named by ``spark.checkpoint.dir`` is used when the session has one; a
-    temporary folder is set only where it is missing (single-machine tests).
+    That is the context's checkpoint folder, else ``spark.checkpoint.dir``. A temporary folder serves
+    only a local master, whose executors run on this machine; anywhere else its absence is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldwatch-checkpoint-"))
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="fieldwatch-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage into the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
