@@ -49,13 +49,14 @@ def _rest(url: Column) -> Column:
 class DigestArray:
     """Rules ``(verdict, host, path)`` as mapped arrays; ``hosts`` answers first, ``rules`` then."""
 
-    def __init__(self, folder: Path, hashed: Callable[[bytes], int] = digest):
+    def __init__(self, find: Callable[[str], str], hashed: Callable[[bytes], int] = digest):
+        """``find`` gives the place of each file that :meth:`write` made."""
         self.hashed = hashed
-        self.parts = {name: (np.load(folder / f"{name}.digests.npy", mmap_mode="r"),
-                             np.load(folder / f"{name}.places.npy", mmap_mode="r"),
-                             np.memmap(folder / f"{name}.strings", np.uint8, "r"))
+        self.parts = {name: (np.load(find(f"{name}.digests.npy"), mmap_mode="r"),
+                             np.load(find(f"{name}.places.npy"), mmap_mode="r"),
+                             np.memmap(find(f"{name}.strings"), np.uint8, "r"))
                       for name in ("hosts", "rules")}
-        self.path_lengths = json.loads((folder / "lengths.json").read_text())
+        self.path_lengths = json.loads(Path(find("lengths.json")).read_text())
 
     @staticmethod
     def write(rules: Iterable[tuple[str, str, str]], folder: Path, hashed: Callable[[bytes], int] = digest) -> None:
@@ -123,11 +124,12 @@ class DigestArray:
 
 
 def ship_rules(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
-    """Write the arrays and have Spark send them to every executor; returns the files' common name."""
-    folder = Path(tempfile.mkdtemp(prefix="url-rules-"))
+    """Write the arrays and have Spark send them to every executor; returns the start of the files' names."""
+    folder = Path(tempfile.mkdtemp(prefix="url-rules-")).resolve()
     DigestArray.write(rules, folder)
-    spark.sparkContext.addFile(str(folder), recursive=True)
-    return folder.name
+    for file in list(folder.iterdir()):   # Spark sends no folders beyond one machine
+        spark.sparkContext.addFile(str(file.rename(folder / f"{folder.name}-{file.name}")))
+    return f"{folder.name}-"
 
 
 _open: dict[str, DigestArray] = {}
@@ -146,7 +148,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     def judged(batches):
         if name not in _open:
             _open.clear()
-            _open[name] = DigestArray(Path(SparkFiles.get(name)))
+            _open[name] = DigestArray(lambda file: SparkFiles.get(name + file))
         for batch in batches:
             found = _open[name].judge(batch["host"].to_pylist(), batch["path"].to_pylist())
             yield pa.RecordBatch.from_arrays(
