@@ -59,7 +59,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                               .withColumn("uid", F.monotonically_increasing_id()))
     rank = F.struct((-F.col("n_code_points")).alias("longest"), F.col("doc_id").isNull().alias("no_id"),
                     F.col("doc_id").alias("id"), F.col("uid").alias("uid"))
-    groups = merge_runs(rows.withColumn("rank", rank), runs, fan).select("digest", "check", "best", "group_size")
+    # stored, so that both sides of the join are plain shuffles and a hot digest can be split there
+    groups = durable_checkpoint(merge_runs(rows.withColumn("rank", rank), runs, fan).select("digest", "check", "best", "group_size"))
     return rows.join(groups, ["digest", "check"]).select(
         "doc_id", F.col("best.id").alias("keep_id"), F.col("group_size").cast("bigint").alias("group_size"),
         (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("digest").alias("text_sha256"))
