@@ -261,7 +261,10 @@ def _initial(rows: DataFrame, cols: Sequence[str], k: int, seed: int, var: np.nd
 
 def fit_candidates(seqs: DataFrame, keys: Sequence[str], cols: Sequence[str], ks: Sequence[int],
                    seeds: Sequence[int], iters: int, tol: float) -> dict[tuple[int, int], tuple[Params, float, bool]]:
-    """EM for every ``(k, seed)``; ``seqs`` hold scaled features, ids and positions."""
+    """EM for every ``(k, seed)``: parameters, their likelihood, and whether the gain fell below ``tol``.
+
+    ``seqs`` hold scaled features, ids and positions.
+    """
     chunks = durable_checkpoint(chunk_table(seqs, keys, cols))
     d = len(cols)
     spread = seqs.agg(*[F.var_pop(c) for c in cols]).first()
@@ -270,13 +273,13 @@ def fit_candidates(seqs: DataFrame, keys: Sequence[str], cols: Sequence[str], ks
     live = {i: _initial(seqs, cols, k, s, var) for i, (k, s) in names.items()}
     done: dict[int, tuple[Params, float, bool]] = {}
     last: dict[int, float] = {}
-    for it in range(iters):
+    for it in range(iters + 1):   # the last pass only scores the parameters of the last step
         stats = _expectations(chunks, keys, live, d)
         for m in list(live):
-            params, loglik = _maximise(stats[m], live[m].k, d)
+            params, loglik = _maximise(stats[m], live[m].k, d)   # the likelihood is that of live[m]
             settled = m in last and loglik - last[m] < tol
-            if settled or it == iters - 1:
-                done[m] = (live[m] if settled else params, loglik, True)
+            if settled or it == iters:
+                done[m] = (live[m], loglik, settled)
                 del live[m]
             else:
                 live[m], last[m] = params, loglik
@@ -289,7 +292,7 @@ def fit_hmm(seqs: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int,
             seeds: Sequence[int] = tuple(K.HMM_SEEDS), iters: int = K.HMM_ITERATIONS,
             tol: float = K.HMM_TOLERANCE) -> tuple[Params, float]:
     fits = fit_candidates(seqs, keys, cols, [k], seeds, iters, tol)
-    good = [(loglik, -s, p) for (_, s), (p, loglik, ok) in fits.items() if ok and np.isfinite(loglik)]
+    good = [(loglik, -s, p) for (_, s), (p, loglik, _) in fits.items() if np.isfinite(loglik)]
     if not good:
         raise RuntimeError(f"no converged model with {k} states")
     best = max(good, key=lambda g: g[:2])

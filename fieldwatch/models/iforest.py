@@ -93,22 +93,21 @@ def fit_isolation(df: DataFrame, cols: Sequence[str] = tuple(K.EVENT_FEATURES),
     ident = list(row_id) or list(cols)
     draw = lambda *salt: F.xxhash64(*[F.col(c) for c in ident], *[F.lit(s) for s in salt])
     wanted = min(sample, n)
-    # expected draws per row to give every tree half as many again as it needs
-    per_row = 1.5 * wanted * trees / n
-    copies = max(1, int(np.ceil(per_row)))
-    keep = min(1.0, per_row / copies)
-    rows = filled.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    rows = rows.filter(F.pmod(draw(seed, 1) + F.col("_copy") * 7919, F.lit(1_000_000)) < int(keep * 1_000_000) + 1)
-    tree = F.pmod(F.xxhash64(draw(seed, 2), F.col("_copy")), F.lit(trees)).cast("int")
-    rows = rows.select(tree.alias("tree"), draw(seed, 3).alias("_o"), *_scaled(cols, scaler)).dropDuplicates(["tree", "_o"])
+    # A tree takes the rows of the smallest draws, without replacement. Rows below a threshold go to the
+    # shuffle only: on average `spare` times what a tree needs, so that it misses none.
+    spare = 1.0 if wanted == n else 1.0 + 8.0 / np.sqrt(wanted) + 8.0 / wanted
+    top = min(1.0, spare * wanted / n) * 2.0 ** 64 - 2.0 ** 63
+    numbered = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(draw(seed), t).alias("_o")))
+    drawn = F.filter(numbered, lambda d: d["_o"].cast("double") <= F.lit(top))
+    rows = filled.select(F.explode(drawn).alias("_d"), *_scaled(cols, scaler)).select(F.col("_d.tree").alias("tree"), F.col("_d._o").alias("_o"), *names)
     limit = int(np.ceil(np.log2(max(wanted, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        x = pdf.sort_values("_o")[names].to_numpy(dtype=float)
+        x = pdf.sort_values(["_o", *names])[names].to_numpy(dtype=float)[:wanted]
+        if len(x) < wanted:
+            raise RuntimeError(f"tree {t} drew {len(x)} of {wanted} rows")
         rng = np.random.default_rng([seed, t])
-        if len(x) > wanted:
-            x = x[rng.choice(len(x), wanted, replace=False)]
         return pd.DataFrame([(t, *grow(x, rng, limit))], columns=["tree", "feature", "threshold", "left", "right", "path"])
     grown = rows.groupBy("tree").applyInPandas(
         build, "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, path array<double>")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.numeric import finite, flag
 from ..functions.time import epoch_us
+from .quantiles import exact_quantiles
+from .ranks import running_totals
 
 
 def _mentions(msg: str, words: Sequence[str]) -> Column:
@@ -98,13 +100,11 @@ def fleet_rollup(sites: DataFrame, site: str = "site_id", score: str = "score",
 def rank_sites(sites: DataFrame, score: str = "score", ts: str = "site_id") -> DataFrame:
     """Most at risk first.  Equal scores share a rank.
 
-    Ranks come from the distribution of scores (at most 1,001 presentation scores 0.0-100.0),
-    not from sorting the fleet in one task.
+    Ranks come from running totals over the distinct scores, so the fleet is not ordered in one task.
     """
     dist = sites.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-    below = dist.withColumn("_g", F.lit(0)).withColumn("risk_rank", F.coalesce(F.sum("_n").over(
-        W.partitionBy("_g").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1)
-    return sites.join(below.select(score, "risk_rank"), score)
+    ranks = running_totals(dist, [], [score], "_n").select(score, (F.col("_before") + 1).alias("risk_rank"))
+    return sites.join(ranks, score)
 
 
 def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -134,8 +134,16 @@ def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def feature_medians(train: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Exact medians of gridded features, one row per key (finite values only)."""
-    return train.groupBy(*keys).agg(*[F.percentile(finite(c), F.lit(0.5)).alias(c) for c in cols])
+    """Exact medians of gridded features, one row per key (finite values only; null where there are none).
+
+    One row per key, feature and value goes through the distributed quantiles, so no task holds the
+    values of a key.
+    """
+    long = train.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_feature"), finite(c).alias("_value")) for c in cols])).alias("_r")).select(*keys, "_r.*")
+    medians = exact_quantiles(long, [*keys, "_feature"], "_value", [0.5])
+    wide = medians.groupBy(*keys).agg(*[F.max(F.when(F.col("_feature") == c, F.col("quantile"))).alias(c) for c in cols])
+    return train.select(*keys).distinct().join(wide, list(keys), "left") if keys else wide
 
 
 def impute_median(df: DataFrame, medians: DataFrame, keys: Sequence[str],

@@ -34,7 +34,8 @@ CROSS = ["interaction_energy_battery_risk", "interaction_environmental_energy_ri
          "interaction_environmental_battery_risk", "interaction_energy_battery_anomaly_burden",
          "max_subsystem_risk", "min_subsystem_health", "subsystem_health_spread",
          "subsystems_below_80", "subsystems_below_60"]
-STREAKS = ([f"{c}_consecutive_decline_hours" for c in ("overall_site_health", *K.SUBSYSTEM_HEALTH)]
+GLOBAL_STREAK = "overall_health_consecutive_decline_hours"   # the name that stored feature lists carry
+STREAKS = ([GLOBAL_STREAK, *[f"{c}_consecutive_decline_hours" for c in K.SUBSYSTEM_HEALTH]]
            + [f"{c}_consecutive_increase_hours" for c in K.SUBSYSTEM_RISK])
 
 
@@ -55,7 +56,8 @@ def model_frame(hourly: DataFrame, keys: Sequence[str],
     df = targets(hourly.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(HOUR))),
                  keys, HOUR)
     df = df.withColumns({**base, **dynamic}).drop("_i")
-    df = streaks(df, keys, HOUR, ["overall_site_health", *K.SUBSYSTEM_HEALTH], K.SUBSYSTEM_RISK)
+    df = streaks(df, keys, HOUR, ["overall_site_health", *K.SUBSYSTEM_HEALTH], K.SUBSYSTEM_RISK).withColumnRenamed(
+        "overall_site_health_consecutive_decline_hours", GLOBAL_STREAK)
     df = calendar_features(cross_features(df), HOUR)
     current = [c for c in K.CURRENT_FEATURES if c in hourly.columns]
     names = list(dict.fromkeys([*current, *base, *dynamic, *STREAKS, *CROSS, *CALENDAR]))
@@ -345,7 +347,8 @@ def feature_plan(features: Sequence[str]) -> list[tuple[str, str, int]]:
             plan.append((traj["kind"], "overall_site_health" if src == "overall_health" else src, int(traj["n"])))
         elif name in STREAKS:
             falling = name.endswith("_consecutive_decline_hours")
-            plan.append(("fall" if falling else "rise", name.rsplit("_consecutive_", 1)[0], 0))
+            src = "overall_site_health" if name == GLOBAL_STREAK else name.rsplit("_consecutive_", 1)[0]
+            plan.append(("fall" if falling else "rise", src, 0))
         else:
             plan.append(("now", name, 0))
     return plan

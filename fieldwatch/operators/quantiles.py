@@ -1,10 +1,8 @@
 """Exact per-key quantiles of raw values without holding a key in one task.
 
-``percentile`` keeps every distinct value of a group in one task's memory.  Here a mergeable
-sketch first brackets each wanted rank, then exact counts below the bracket and a value
-histogram inside it give the exact linear-interpolated quantile.  A task only ever orders
-the distinct values of one bracket: about ``6 / ACCURACY`` of a series, or the whole of a
-series of up to ``SMALL`` values.
+Equal values are counted together first; running totals over ranges of the value then show which
+distinct value holds a wanted rank. One path serves every size, and a task orders one range of the
+distinct values, about a ``spark.sql.shuffle.partitions``-th of them, whatever their key.
 """
 
 from __future__ import annotations
@@ -12,55 +10,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .ranks import running_totals
 
-ACCURACY = 10_000
-SMALL = 100_000
+ACCURACY = 10_000   # of the approximate form
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    accuracy: int = ACCURACY, small: int = SMALL) -> DataFrame:
+                    parts: int | None = None) -> DataFrame:
     """One row per key and probability: ``prob, n, quantile`` (linear interpolation)."""
-    values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull())
-    # identical values meet map-side first, so repeats cost nothing in the later passes
+    values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     counts = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    slack = 3.0 / accuracy
-    edges = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"))
-    wanted = sketch.select(*keys, "n", F.posexplode(F.array(*[F.struct(
-        F.lit(float(p)).alias("prob"),
-        F.when(F.col("n") <= small, F.lit(float("-inf"))).otherwise(F.col("_e")[2 * i]).alias("lo"),
-        F.when(F.col("n") <= small, F.lit(float("inf"))).otherwise(F.col("_e")[2 * i + 1]).alias("hi"))
-        for i, p in enumerate(probs)])).alias("_i", "_w")).select(*keys, "n", "_w.*")
-    rank = F.col("prob") * (F.col("n") - 1)
-    wanted = wanted.withColumn("_h", rank).withColumn("_k", F.floor(rank))
-    ranges = wanted.groupBy(*keys).agg(F.collect_list(
-        F.struct("prob", "n", "lo", "hi", "_h", "_k")).alias("_ranges"))  # len(probs) entries
-    # values below each bracket only count; values inside it keep their histogram
-    tagged = counts.join(ranges, list(keys)) if keys else counts.withColumn("_ranges", ranges.scalar())
-    tagged = tagged.select(*keys, "_v", "_c", F.explode("_ranges").alias("_r")).select(
-        *keys, "_v", "_c", "_r.*").filter(F.col("_v") <= F.col("hi"))
-    group = [*keys, "prob", "n", "_h", "_k"]
-    hist = tagged.groupBy(*group, F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v")).agg(
-        F.sum("_c").alias("_c"))
-    w = W.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first())
-    hist = hist.withColumn("_upto", F.sum("_c").over(
-        w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_next", F.lead("_v").over(w))
-    hit = (F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_c") <= F.col("_k"))
-    frac = F.col("_h") - F.col("_k")
-    # the next rank is the same value, or the next distinct one inside the bracket
-    upper = F.when(F.col("_upto") > F.col("_k") + 1, F.col("_v")).otherwise(F.col("_next"))
-    exact = F.when(frac == 0, F.col("_v")).otherwise(
-        F.col("_v") + frac * (upper - F.col("_v")))
-    checked = F.when(exact.isNull(), F.raise_error(F.lit(
-        "quantile rank outside its sketch bracket; raise the accuracy"))).otherwise(exact)
-    return hist.filter(hit).select(*keys, "prob", "n", checked.alias("quantile"))
+    placed = running_totals(counts, keys, ["_v"], "_c", parts)
+    last = F.col("_total") - 1
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(side).alias("side"),
+                                F.least(F.floor(F.lit(float(p)) * last) + side, last).alias("rank"))
+                       for p in probs for side in (0, 1)])
+    held = F.filter(wanted, lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_c")))
+    hits = placed.select(*keys, "_v", "_total", F.explode(held).alias("_w")).select(*keys, "_v", "_total", "_w.*")
+    ends = hits.groupBy(*keys, "prob").agg(F.max("_total").alias("n"), F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_lo"),
+                                           F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_hi"))
+    share = F.col("prob") * (F.col("n") - 1)
+    share = share - F.floor(share)
+    return ends.select(*keys, "prob", "n", F.when(share == 0, F.col("_lo")).otherwise(
+        F.col("_lo") + share * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
 
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str,

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import flag
 from ..functions.time import epoch_us, floor_div
+from ..session import durable_checkpoint
 
 BLOCK, HALO, US = "_block", "_halo", "_us"
 DAY = 86_400.0
@@ -60,6 +61,7 @@ def carry(df: DataFrame, keys: Sequence[str], order: Column | str,
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     order = F.col(order) if isinstance(order, str) else order
+    df = durable_checkpoint(df)   # read by the summary and by the join back, as in `scan_breaks`
     summary = df.groupBy(*keys, BLOCK).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()],
         *[F.max_by(c, F.when(c.isNotNull(), order)).alias(n) for n, c in lasts.items()])
@@ -100,7 +102,9 @@ def scan_breaks(rows: DataFrame, keys: Sequence[str], state: Column, is_break,
     ``_since``   rows since the latest break (0 on the break itself, NULL before any),
     ``_head_us`` time of the latest break.
 
-    One shuffle of the rows on ``(key, block)`` plus one summary row per block.
+    One shuffle of the rows on ``(key, block)`` plus one summary row per block. The rows are stored
+    once after that shuffle: the summary and the join back both read them there, already dealt by
+    ``(key, block)``, so neither the scan beneath nor the shuffle is repeated, however deep scans nest.
     """
     w = block_window(keys, order=order)
     past, here = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
@@ -116,6 +120,7 @@ def scan_breaks(rows: DataFrame, keys: Sequence[str], state: Column, is_break,
     rows = rows.withColumns({"_opened": F.sum("_inner").over(here),
                              "_mark": F.max(F.when(marked, F.col("_rn"))).over(here),
                              "_mark_us": F.max(F.when(marked, F.col(US))).over(here)})
+    rows = durable_checkpoint(rows)
 
     block = rows.groupBy(*keys, BLOCK).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_inner").alias("_n_inner"),

@@ -220,11 +220,11 @@ def targets(df: DataFrame, keys: Sequence[str], ts: str, col: str = "overall_sit
 
 def decayed_sums(df: DataFrame, keys: Sequence[str], ts: str, cols: Mapping[str, str],
                  half_life: float, block_hours: int = 240) -> DataFrame:
-    """Recency-weighted running totals ``S = d S' + x`` on the dense hourly grid.
+    """Recency-weighted running totals ``S = d S' + x`` on the dense hourly grid, over all earlier hours.
 
-    Blocks of ``block_hours`` rows; inside a block a scaled prefix sum, between blocks the
-    totals of the three preceding blocks (older ones have decayed below 1e-27).
-    ``cols``: output name -> input column.
+    Blocks of ``block_hours`` hours; inside a block a scaled prefix sum. Between blocks each block is one
+    summary row, its worth at its last hour slot, and a block starts from all earlier ones, each decayed
+    by its distance. ``cols``: output name -> input column.
     """
     d = 0.5 ** (1.0 / half_life)
     hour = hour_index(ts)
@@ -232,22 +232,20 @@ def decayed_sums(df: DataFrame, keys: Sequence[str], ts: str, cols: Mapping[str,
     df = df.withColumn("_hb", block).withColumn("_o", (hour - block * block_hours).cast("double"))
     w = W.partitionBy(*keys, "_hb").orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
     up, down = F.pow(F.lit(d), -F.col("_o")), F.pow(F.lit(d), F.col("_o"))
-    df = df.withColumns({f"_l_{n}": down * F.sum(F.coalesce(F.col(c), F.lit(0)) * up).over(w)
-                         for n, c in cols.items()})
-    # what an earlier block is worth at its last hour slot, even where the series ends before;
-    # every row of a block shares these frames, so each is evaluated once per block
     ends = F.pow(F.lit(d), F.lit(float(block_hours - 1)) - F.col("_o"))
-    step = d ** block_hours
-    carried = {}
-    for n, c in cols.items():
-        worth, total = F.coalesce(F.col(c), F.lit(0)) * ends, F.lit(0.0)
-        for back in (1, 2, 3):
-            one = W.partitionBy(*keys).orderBy("_hb").rangeBetween(-back, -back)
-            total = total + F.lit(step ** (back - 1)) * F.coalesce(F.sum(worth).over(one), F.lit(0.0))
-        carried[f"_c_{n}"] = total
-    df = df.withColumns(carried)
-    return df.withColumns({n: F.col(f"_l_{n}") + F.col(f"_c_{n}") * F.lit(d) * down
-                           for n in cols}).drop(
+    worth = {n: F.coalesce(F.col(c), F.lit(0)) * ends for n, c in cols.items()}
+    blocks = df.groupBy(*keys, "_hb").agg(*[F.sum(e).alias(f"_w_{n}") for n, e in worth.items()])
+    earlier = W.partitionBy(*keys).orderBy("_hb").rowsBetween(W.unboundedPreceding, -1)
+    step = F.lit(d ** block_hours)
+
+    def carried(n: str) -> Column:
+        """All earlier blocks, one number each, decayed up to the hour before this block."""
+        past = F.collect_list(F.struct("_hb", f"_w_{n}")).over(earlier)
+        return F.aggregate(past, F.lit(0.0), lambda total, b: total + b[f"_w_{n}"] * F.pow(step, F.col("_hb") - b["_hb"] - 1))
+    blocks = blocks.select(*keys, "_hb", *[carried(n).alias(f"_c_{n}") for n in cols])
+    df = df.withColumns({f"_l_{n}": down * F.sum(F.coalesce(F.col(c), F.lit(0)) * up).over(w) for n, c in cols.items()})
+    df = df.join(blocks, [*keys, "_hb"])
+    return df.withColumns({n: F.col(f"_l_{n}") + F.col(f"_c_{n}") * F.lit(d) * down for n in cols}).drop(
         "_hb", "_o", *[f"_{k}_{n}" for k in "lc" for n in cols])
 
 

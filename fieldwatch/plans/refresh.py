@@ -31,14 +31,16 @@ class Config:
     model_path: str | None = None
     sources: Callable[[SparkSession], tuple[DataFrame, DataFrame]] | None = None
     batch_id: str = "batch"
-    ingested_at: str = "1970-01-01 00:00:00"
-    rounds: int = 100
+    ingested_at: str | None = None   # required by the ingest stage
+    rounds: int = 2000
     counts: tuple[int, ...] = tuple(K.FEATURE_COUNTS)
     forecast_sources: tuple[str, ...] = tuple(K.TRAJECTORY_SOURCES)
     stages: dict[str, Callable] = field(default_factory=dict)  # replaces a stage by name
 
 
 def ingest(spark: SparkSession, cfg: Config) -> None:
+    if cfg.ingested_at is None:
+        raise ValueError("say when this batch was ingested (Config.ingested_at)")
     readings, alarms = cfg.sources(spark)
     at = F.lit(cfg.ingested_at).cast("timestamp_ntz")
     L.write_bronze(readings, cfg.root, "raw_readings", cfg.batch_id, at)

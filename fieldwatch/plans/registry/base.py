@@ -37,7 +37,7 @@ def cte(name: str, needs: str, body: str) -> None:
 
 
 def sql(needs: str, body: str, floats: str = "") -> str:
-    """``WITH`` list of everything ``needs`` depends on, then ``body``; floats rounded to 6."""
+    """``WITH`` list of everything ``needs`` depends on, then ``body``; floats rounded as in :func:`rounded`."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -48,7 +48,7 @@ def sql(needs: str, body: str, floats: str = "") -> str:
     for name in needs.split():
         visit(name)
     if floats:
-        swaps = ", ".join(f"round({c}, 6) + 0 AS {c}" for c in floats.split())
+        swaps = ", ".join(f"round_even({c} * 1000000 + 0.0001::DOUBLE, 0) / 1000000 + 0 AS {c}" for c in floats.split())
         body = f"SELECT * REPLACE ({swaps}) FROM ({body})"
     if not order:
         return body
@@ -58,8 +58,12 @@ def sql(needs: str, body: str, floats: str = "") -> str:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Comparison form: doubles to 6 digits, no negative zero."""
-    return df.select(*[(F.round(F.col(f"`{c}`"), 6) + F.lit(0.0)).alias(c) if t == "double"
+    """Comparison form: doubles to 6 digits, no negative zero.
+
+    Exact ties at the seventh digit are common and the last bit of a sum is not, so both sides round the
+    scaled value a ten-thousandth of a unit above it: a tie goes up whatever its last bit.
+    """
+    return df.select(*[(F.rint(F.col(f"`{c}`") * 1e6 + 1e-4) / 1e6 + F.lit(0.0)).alias(c) if t == "double"
                        else F.col(f"`{c}`") for c, t in df.dtypes])
 
 

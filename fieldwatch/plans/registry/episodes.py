@@ -89,9 +89,9 @@ def e6(spark, sf):
 
 @query("w13_number_episodes", "alarms", """
 SELECT event_id, site_id, printf('EP-%04d', row_number() OVER (PARTITION BY site_id ORDER BY log_time, event_id)) AS id
-FROM alarms WHERE event_id % 7 = 0""")
+FROM alarms""")
 def w13(spark, sf):
-    rows = alarms(spark, sf).filter("event_id % 7 = 0").select("event_id", "site_id", "log_time")
+    rows = alarms(spark, sf).select("event_id", "site_id", "log_time")
     return E.number_episodes(rows, KEYS, "log_time", ties=["event_id"]).drop("log_time")
 
 
@@ -103,12 +103,12 @@ SELECT printf('EV-%05d', event_id) AS id, user_id % 4 AS site_id, CASE WHEN user
        ts AS start, value AS duration_min, value AS peak_value,
        CASE event_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'acknowledged' ELSE 'resolved' END AS status,
        CASE WHEN event_type = 'error' THEN 'scada' ELSE 'environment' END AS dimension
-FROM events WHERE event_type <> 'signup'""")
+FROM events""")
 
 
 def eps(spark, sf):
     n, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    return table(spark, sf, "events").filter(t != "signup").select(
+    return table(spark, sf, "events").select(
         F.format_string("EV-%05d", n).alias("id"), (u % 4).alias("site_id"),
         F.when(u % 9 == 0, "room").otherwise(F.concat(F.lit("U"), u % 14)).alias("equipment"),
         F.when(t == "view", "duration").when(t == "click", "sequence").otherwise("collective").alias("type"),
@@ -165,21 +165,20 @@ def _hist(bucket):
     return f"""
 SELECT s.site_id, CAST(s.p AS DATE) AS period_start, coalesce(total, 0) AS total, coalesce(a, 0) AS severity_alert, coalesce(c, 0) AS severity_critical
 FROM (SELECT site_id, unnest(generate_series(min(date_trunc('{bucket}', start)::TIMESTAMP), max(date_trunc('{bucket}', start)::TIMESTAMP), INTERVAL {step})) AS p
-      FROM sparse GROUP BY site_id) s
+      FROM eps GROUP BY site_id) s
 LEFT JOIN (SELECT site_id, date_trunc('{bucket}', start)::TIMESTAMP AS p, count(*) AS total, count(*) FILTER (WHERE severity = 'alert') AS a,
-                  count(*) FILTER (WHERE severity = 'critical') AS c FROM sparse GROUP BY ALL) h ON h.site_id = s.site_id AND h.p = s.p"""
+                  count(*) FILTER (WHERE severity = 'critical') AS c FROM eps GROUP BY ALL) h ON h.site_id = s.site_id AND h.p = s.p"""
 
 
-cte("sparse", "eps", "SELECT * FROM eps WHERE peak_value > 230")
 for _b in ("day", "week", "month"):
-    @query(f"a8_histogram_{_b}", "sparse", _hist(_b))
+    @query(f"a8_histogram_{_b}", "eps", _hist(_b))
     def a8(spark, sf, bucket=_b):
-        return E.episode_histogram(eps(spark, sf).filter("peak_value > 230"), bucket, KEYS)
+        return E.episode_histogram(eps(spark, sf), bucket, KEYS)
 
 
-@query("j7_spine_join", "sparse", _hist("day"))
+@query("j7_spine_join", "eps", _hist("day"))
 def j7(spark, sf):
-    rows = eps(spark, sf).filter("peak_value > 230")
+    rows = eps(spark, sf)
     counts = rows.groupBy("site_id", F.to_date("start").alias("period_start")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("severity") == "alert").alias("severity_alert"),
         F.count_if(F.col("severity") == "critical").alias("severity_critical"))

@@ -57,13 +57,21 @@ def m1(spark, sf):
     return hmm.apply_scaler(r, cols, hmm.fit_scaler(r, cols))
 
 
-@query("m1_standardise_embeddings", None, """
-SELECT vec_id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b
-FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)""", "a b")
+EMBEDDED = 64   # dimensions of the test vectors
+_DIMS = [f"e{i}" for i in range(EMBEDDED)]
+
+
+def _embeddings(spark, sf):
+    """Every dimension as a column of its own."""
+    return table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_DIMS)])
+
+
+@query("m1_standardise_embeddings", None, f"""
+SELECT vec_id, {", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in _DIMS)}
+FROM (SELECT vec_id, {", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(_DIMS))} FROM embeddings)""", " ".join(_DIMS))
 def m1_embeddings(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"),
-                                                 F.col("embedding")[1].cast("double").alias("b"))
-    return hmm.apply_scaler(rows, ["a", "b"], hmm.fit_scaler(rows, ["a", "b"]))
+    rows = _embeddings(spark, sf)
+    return hmm.apply_scaler(rows, _DIMS, hmm.fit_scaler(rows, _DIMS))
 
 
 # --- hidden states: short training runs, whole tables ------------------------------------
@@ -136,15 +144,14 @@ def e3(spark, sf):
 @query("m6_isolation_forest")
 def m6(spark, sf):
     ev = durable_checkpoint(events(spark, sf))
-    forest = iforest.fit_isolation(ev, row_id=["site_id", "alarm_event"], trees=60)
+    forest = iforest.fit_isolation(ev, row_id=["site_id", "alarm_event"])
     return iforest.score_isolation(ev, forest).select("site_id", "alarm_event", "is_anomaly", "score")
 
 
 @query("m6_isolation_embeddings")
 def m6_embeddings(spark, sf):
-    cols = [f"e{i}" for i in range(8)]
-    rows = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].alias(c) for i, c in enumerate(cols)])
-    forest = iforest.fit_isolation(rows, cols, row_id=["vec_id"], trees=40)
+    rows = durable_checkpoint(_embeddings(spark, sf))
+    forest = iforest.fit_isolation(rows, _DIMS, row_id=["vec_id"])
     return iforest.score_isolation(rows, forest).select("vec_id", "is_anomaly", "score")
 
 
@@ -245,15 +252,9 @@ def _fitted(spark, sf, weight=None):
     return hourly, frame, FC.fit_delta(frame, names, KEYS, counts=(10, 20), rounds=10, weight=weight)
 
 
-_trained: dict = {}
-
-
 def served_model(spark, sf):
-    """The trained model that prediction queries read, fitted once per application and data set."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _trained:
-        _trained[at] = _fitted(spark, sf)
-    hourly, _, model = _trained[at]
+    """Hourly table and a model trained on it."""
+    hourly, _, model = _fitted(spark, sf)
     return hourly, model
 
 

@@ -113,9 +113,7 @@ SELECT l_returnflag, q1, q3, q3 - q1 AS iqr FROM (SELECT l_returnflag,
 def a5_lineitem(spark, sf):
     from .base import table
     rows = table(spark, sf, "lineitem")
-    # a small bound on purpose, so that the bracketed path is the one compared
-    return Q.quantile_columns(rows, ["l_returnflag"], "l_extendedprice", {"q1": 0.25, "q3": 0.75},
-                              accuracy=1000, small=100).withColumn("iqr", F.col("q3") - F.col("q1"))
+    return Q.quantile_columns(rows, ["l_returnflag"], "l_extendedprice", {"q1": 0.25, "q3": 0.75}).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def hysteresis_sql(name, source, value, enter, leave, high=True):

@@ -186,9 +186,9 @@ def q7(spark, sf):
     return Q.stats(rows, F.col("span_days"), ["site_id", "span_days"]).drop("span_days")
 
 
-@query("q7_histogram", "sparse", _hist("week"))
+@query("q7_histogram", "eps", _hist("week"))
 def q7_hist(spark, sf):
-    return Q.histogram(eps(spark, sf).filter("peak_value > 230"), "week", KEYS)
+    return Q.histogram(eps(spark, sf), "week", KEYS)
 
 
 @query("q7_window_kpis", "eps units bounds", _window(168), "rate_pct")

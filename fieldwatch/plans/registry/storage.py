@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 from ...operators import forecasting as FC
 from ...sources import layers as L
+from ...session import shared_folder
 from ..refresh import Config, refresh
 from .base import BLOCK, GAP, alarms, cte, query, readings
 from .models import served_model
-from .segments import segmented
-from .streams import _checkpoint_root
+from .episodes import _CHARACTER as CHARACTER
+from .segments import hysteresis_sql, segmented
 
 
 def _folder(spark, name):
-    return f"{_checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _site(df):
@@ -42,30 +43,32 @@ def s10(spark, sf):
     return L.read_layer(spark, root, "readings")
 
 
-_lakes: dict = {}
-
-
 def lake(spark, sf):
-    """One refreshed lake per application and data set: (root, volumes)."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _lakes:
-        root = _folder(spark, "lake")
-        log = alarms(spark, sf).withColumn("site_id", F.col("site_id").cast("string"))
-        cfg = Config(root, GAP, BLOCK, sources=lambda s: (_site(readings(s, sf)), log))
-        _lakes[at] = (root, refresh(spark, cfg))
-    return _lakes[at]
+    """A freshly refreshed lake: (root, volumes)."""
+    root = _folder(spark, "lake")
+    log = alarms(spark, sf).withColumn("site_id", F.col("site_id").cast("string"))
+    cfg = Config(root, GAP, BLOCK, sources=lambda s: (_site(readings(s, sf)), log), ingested_at="2024-02-01 00:00:00")
+    return root, refresh(spark, cfg)
+
 
+# the lake keeps every temperature, so its episodes are found anew
+cte("seg_lake", "seg tukey_t", "SELECT s.*, mild_upper, mild_lower, extreme_upper, extreme_lower FROM seg s JOIN tukey_t USING (site_id)")
+hysteresis_sql("lake", "seg_lake", "temperature", "mild_upper", "mild_upper - 0.5")
+cte("lake_inside", "rec_lake seg_lake", """
+SELECT s.*, h.episode_id FROM seg_lake s JOIN rec_lake h ON h.rn > 0 AND h.event_id = s.event_id WHERE h.episode_id > 0""")
+cte("lake_episodes", "lake_inside", CHARACTER.format(keys="site_id, episode_id", src="lake_inside"))
 
 _VOLUMES = """
 SELECT 'raw_readings' AS table_name, count(*) AS n_rows FROM readings UNION ALL SELECT 'raw_alarms', count(*) FROM alarms
 UNION ALL SELECT 'readings', count(*) FROM readings UNION ALL SELECT 'alarms', count(*) FROM alarms
 UNION ALL SELECT 'hourly', count(*) FROM scored UNION ALL SELECT 'snapshot', 4 * count(*) FROM last_hour
-UNION ALL SELECT 'forecast_points', count(*) FROM points UNION ALL SELECT 'gold_meta', count(*) FROM last_hour"""
+UNION ALL SELECT 'forecast_points', count(*) FROM points UNION ALL SELECT 'gold_meta', count(*) FROM last_hour
+UNION ALL SELECT 'episodes', count(*) FROM lake_episodes"""
 
 
-@query("s19_refresh", "readings alarms scored last_hour points", _VOLUMES)
+@query("s19_refresh", "readings alarms scored last_hour points lake_episodes", _VOLUMES)
 def s19(spark, sf):
-    return lake(spark, sf)[1].filter("table_name <> 'episodes'").select("table_name", "n_rows")
+    return lake(spark, sf)[1].select("table_name", "n_rows")
 
 
 @query("s15_export_gold", "scored", """
@@ -77,14 +80,15 @@ def s15(spark, sf):
     return L.read_gold(spark, out, "hourly").select("site_id", "timestamp")
 
 
-@query("s16_import_gold", "scored last_hour points", """
+@query("s16_import_gold", "scored last_hour points lake_episodes", """
 SELECT 'hourly' AS table_name, count(*) AS n_rows FROM scored UNION ALL SELECT 'snapshot', 4 * count(*) FROM last_hour
-UNION ALL SELECT 'forecast_points', count(*) FROM points UNION ALL SELECT 'gold_meta', count(*) FROM last_hour""")
+UNION ALL SELECT 'forecast_points', count(*) FROM points UNION ALL SELECT 'gold_meta', count(*) FROM last_hour
+UNION ALL SELECT 'episodes', count(*) FROM lake_episodes""")
 def s16(spark, sf):
     out = _folder(spark, "export")
     L.export_gold(spark, lake(spark, sf)[0], out)
     done = L.import_gold(spark, out, _folder(spark, "served"))
-    return done.filter("table_name <> 'episodes'").select("table_name", "n_rows")
+    return done.select("table_name", "n_rows")
 
 
 @query("s18_model_round_trip")

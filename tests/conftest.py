@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from fieldwatch.session import build_session, prepare  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", "local[8]", **{
+    session = build_session("tests", os.environ.get("FIELDWATCH_TEST_MASTER", "local[8]"), **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))})

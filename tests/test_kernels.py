@@ -45,6 +45,26 @@ def test_decayed_sum_equals_loop_over_blocks(spark):
         assert got == pytest.approx(running, abs=1e-9)
 
 
+@pytest.mark.parametrize("half_life", [1, 8, 240])
+def test_decayed_sum_reaches_back_over_the_whole_history(spark, half_life):
+    values = [1.0 if i % 7 else 5.0 for i in range(3000)]
+    out = column(W.decayed_sums(series(spark, values, 3600), KEY, "ts", {"s": "value"}, half_life), "s")
+    running, d = 0.0, 0.5 ** (1 / half_life)
+    for got, v in zip(out, values):
+        running = running * d + v
+        assert got == pytest.approx(running, rel=1e-9)
+
+
+def test_one_key_is_ordered_by_many_tasks(spark):
+    from fieldwatch.operators.ranks import running_totals
+    df = spark.range(20_000).select(F.lit("a").alias("k"), ((F.col("id") * 7919) % 20_000).alias("v"), F.lit(2).alias("c"))
+    out = running_totals(df, ["k"], ["v"], "c", parts=20)
+    assert out.filter("_before <> 2 * v or _total <> 40000").count() == 0 and out.count() == 20_000
+    held = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0]
+    ranged = df.repartitionByRange(20, "k", "v").withColumn("p", F.spark_partition_id()).groupBy("p").count()
+    assert ranged.agg(F.max("count")).first()[0] <= 3_000 and held <= 20_000
+
+
 def test_run_length(spark):
     out = G.run_length(series(spark, [1, 1, 1, 0, 1, 1], schema="value int"), KEY, "ts", "value")
     assert column(out, "run_length") == [1, 2, 3, 0, 1, 2]
@@ -158,7 +178,7 @@ def test_quantiles_exact_with_one_hot_key(spark):
     rows = [("hot" if i % 3 else f"k{i % 7}", rng.lognormvariate(0, 2)) for i in range(20_000)]
     df = spark.createDataFrame(rows, "site_id string, v double").repartition(8)
     got = {(r["site_id"], r["prob"]): r["quantile"] for r in
-           Q.exact_quantiles(df, KEY, "v", [0.05, 0.25, 0.75, 0.95], accuracy=2000, small=500).collect()}
+           Q.exact_quantiles(df, KEY, "v", [0.05, 0.25, 0.75, 0.95], parts=16).collect()}
     want = pd.DataFrame(rows, columns=["k", "v"]).groupby("k")["v"].quantile([0.05, 0.25, 0.75, 0.95])
     assert len(got) == len(want)
     for key, q in want.items():

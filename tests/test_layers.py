@@ -38,7 +38,7 @@ def test_refresh_export_import(spark, tmp_path):
     readings = readings.withColumn("sensor", F.lit("room"))
     alarms = alarms.withColumn("send_time", F.col("log_time"))
     root = str(tmp_path / "lake")
-    cfg = Config(root, sources=lambda s: (readings, alarms))
+    cfg = Config(root, sources=lambda s: (readings, alarms), ingested_at="2026-02-01 00:00:00")
     first = {r["table_name"]: r["n_rows"] for r in refresh(spark, cfg).collect()}
     assert first["raw_readings"] == 9000 and first["readings"] == 9000 and first["hourly"] == 300
     assert first["forecast_points"] == (24 + 24) + (28 + 28) + (13 + 30) and first["snapshot"] == 4 and first["gold_meta"] == 1

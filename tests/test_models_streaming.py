@@ -110,6 +110,18 @@ def test_detection_stream_predicts_only_on_full_features(spark, tmp_path):
     assert x[-1] == pytest.approx(want, abs=1e-8)
 
 
+def test_a_late_reading_gets_no_second_prediction(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    ts = pd.date_range("2026-01-01", periods=120, freq="2min")
+    pdf = pd.DataFrame({"site_id": "a", "ts": ts, "temperature": rng.normal(25, 1, 120), "humidity": rng.normal(45, 2, 120)})
+    late = pd.concat([pdf.drop(index=90), pdf.loc[[90]]], ignore_index=True)
+    d = len(K.STATE_FEATURES)
+    params = hmm.Params(np.array([0.5, 0.5]), np.full((2, 2), 0.5), rng.normal(0, 1, (2, d)), np.ones((2, d)))
+    model = hmm.HmmModel(params, hmm.Scaler([0.0] * d, [1.0] * d), K.STATE_FEATURES, 0.0, True, [1])
+    got = drain(spark, tmp_path, ST.detect_stream(feed(spark, tmp_path, late, 6), KEY, "ts", model)).toPandas()
+    assert got["ts"].is_unique and pd.Timestamp(ts[90]) not in set(got["ts"])
+
+
 def test_ingest_stream_is_idempotent(spark, tmp_path):
     ts = pd.date_range("2026-01-01", periods=50, freq="2min")
     pdf = pd.DataFrame({"site_id": "a", "ts": ts, "temperature": 1.0})

@@ -8,7 +8,6 @@ import duckdb
 import pytest
 
 from fieldwatch.plans.registry import ENTRIES
-from fieldwatch.plans.registry.base import _CTES
 
 SF = os.environ.get("FIELDWATCH_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -16,13 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
 
 
-def depends_on(needs, name):
-    return any(n == name or depends_on(" ".join(_CTES[n][0]), name) for n in needs.split())
-
-
-# the full score table is compared once and through its forecast points; FIELDWATCH_ALL=1 runs every query
-HEAVY = {n for n, e in ENTRIES.items() if e.body and depends_on(e.needs, "joined")} - {"h17_health_scores", "q3_forecast_crossings"}
-COMPARED = [n for n, e in ENTRIES.items() if e.body and (n not in HEAVY or os.environ.get("FIELDWATCH_ALL"))]
+COMPARED = [n for n, e in ENTRIES.items() if e.body]
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +62,13 @@ def test_raw_series_are_never_ordered_by_key_alone(spark, name):
     assert orders and set(orders) == {"_block"}
 
 
+@pytest.mark.parametrize("name", ["g1_add_segments", "g2_add_sequences", "g5_hysteresis", "g8_threshold_labels", "e4_threshold_episodes", "e6_refresh_status"])
+def test_raw_rows_are_read_and_dealt_once_per_scan(spark, name):
+    """After the stored block rows, only summaries and halo copies move: the events are not read again."""
+    plan = ENTRIES[name].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("events.parquet") <= 1, plan
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = ENTRIES["s7_scan_since"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "props" not in plan
