@@ -94,6 +94,11 @@ FROM events""")
 
 
 def alarms(spark: SparkSession, sf: str) -> DataFrame:
+    return alarm_rows(table(spark, sf, "events"))
+
+
+def alarm_rows(rows: DataFrame) -> DataFrame:
+    """Alarm log from events, batch or stream."""
     kind, n = F.col("event_type"), F.col("event_id")
     message = (F.when(kind == "error", "ABSENCE DE TENSION")
                .when((kind == "purchase") & (n % 3 == 0), "ATS TRANSFER")
@@ -104,7 +109,7 @@ def alarms(spark: SparkSession, sf: str) -> DataFrame:
                .when(kind == "click", "Battery discharge, STATS ok")
                .otherwise("Diesel generator start"))
     state = F.when(n % 10 == 0, "X").when(n % 2 == 0, "A").otherwise("D")
-    return table(spark, sf, "events").select(
+    return rows.select(
         "event_id", (F.col("user_id") % SITES).alias("site_id"), state.alias("state"),
         F.col("ts").alias("log_time"), message.alias("message"), F.col("ts").alias("send_time"))
 

@@ -20,6 +20,7 @@ from ...operators import windows as W
 from ...session import durable_checkpoint
 from .alarms_scoring import events, scored
 from .base import BLOCK, GAP, KEYS, cte, query, readings, table
+from .episodes import _AGE, _CHARACTER
 from .grid import filled
 from .segments import segmented
 from .windows import features, trajectory_sql
@@ -103,20 +104,74 @@ def m2(spark, sf):
     return spark.createDataFrame(rows, "state int, start double, temperature double, humidity double")
 
 
-@query("m3_decode_states")
+# --- decoding with fixed parameters: every step has its SQL ---------------------------------
+_PAIR = ["temperature", "humidity"]
+FIXED = hmm.HmmModel(
+    hmm.Params(hmm.np.array([0.7, 0.3]), hmm.np.array([[0.9, 0.1], [0.2, 0.8]]), hmm.np.array([[30.0, 35.0], [90.0, 65.0]]),
+               hmm.np.array([[400.0, 600.0], [900.0, 500.0]])),
+    hmm.Scaler([0.0, 0.0], [1.0, 1.0]), _PAIR, 0.0, True, [1])
+
+
+def _emission(state):
+    (m1, m2), (v1, v2) = FIXED.params.mean[state].tolist(), FIXED.params.var[state].tolist()
+    return (f"-0.5 * ((temperature - {m1}) * (temperature - {m1}) / {v1} + (humidity - {m2}) * (humidity - {m2}) / {v2}"
+            f" + ln(2 * pi() * {v1}) + ln(2 * pi() * {v2}))")
+
+
+cte("vit_rows", "seg", "SELECT * FROM seg WHERE temperature IS NOT NULL AND humidity IS NOT NULL")
+cte("vit_open", "vit_rows", """
+SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000
+                 OR lag(segment_id) OVER w <> segment_id THEN 1 ELSE 0 END AS opens
+FROM vit_rows WINDOW w AS (PARTITION BY site_id ORDER BY ts)""")
+cte("vit_seq", "vit_open", "SELECT *, sum(opens) OVER (PARTITION BY site_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS seq FROM vit_open")
+cte("vit_in", "vit_seq", f"""
+SELECT event_id, site_id, ts, segment_id, temperature, humidity, seq, row_number() OVER (PARTITION BY site_id, seq ORDER BY ts) AS rn,
+       count(*) OVER (PARTITION BY site_id, seq) AS n, {_emission(0)} AS e0, {_emission(1)} AS e1 FROM vit_seq""")
+cte("rec_vit", "vit_in", """
+SELECT site_id, seq, rn, ln(0.7::DOUBLE) + e0 AS s0, ln(0.3::DOUBLE) + e1 AS s1, 0 AS b0, 0 AS b1 FROM vit_in WHERE rn = 1 AND n >= 2
+UNION ALL
+SELECT v.site_id, v.seq, v.rn, greatest(s0 + ln(0.9::DOUBLE), s1 + ln(0.2::DOUBLE)) + v.e0, greatest(s0 + ln(0.1::DOUBLE), s1 + ln(0.8::DOUBLE)) + v.e1,
+       CASE WHEN s1 + ln(0.2::DOUBLE) > s0 + ln(0.9::DOUBLE) THEN 1 ELSE 0 END, CASE WHEN s1 + ln(0.8::DOUBLE) > s0 + ln(0.1::DOUBLE) THEN 1 ELSE 0 END
+FROM rec_vit r JOIN vit_in v ON v.site_id = r.site_id AND v.seq = r.seq AND v.rn = r.rn + 1""")
+cte("vit_scores", "rec_vit", "SELECT r.*, v.event_id, v.ts, v.segment_id, v.temperature, v.humidity, v.n FROM rec_vit r JOIN vit_in v USING (site_id, seq, rn)")
+cte("rec_path", "vit_scores", """
+SELECT site_id, seq, rn, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS state FROM vit_scores WHERE rn = n
+UNION ALL
+SELECT v.site_id, v.seq, v.rn - 1, CASE WHEN p.state = 0 THEN v.b0 ELSE v.b1 END
+FROM rec_path p JOIN vit_scores v ON v.site_id = p.site_id AND v.seq = p.seq AND v.rn = p.rn WHERE p.rn > 1""")
+cte("decoded", "rec_path vit_scores", "SELECT v.*, p.state FROM rec_path p JOIN vit_scores v USING (site_id, seq, rn)")
+
+
+def _fixed_sequences(spark, sf):
+    seqs = G.add_sequences(segmented(spark, sf), KEYS, "ts", _PAIR, GAP, block_seconds=BLOCK)
+    return durable_checkpoint(seqs.select(*KEYS, "event_id", "ts", "segment_id", "sequence_id", "sequence_position", *_PAIR))
+
+
+@query("m3_decode_states", "decoded", "SELECT site_id, event_id, CAST(state AS INTEGER) AS state FROM decoded")
 def m3(spark, sf):
-    seqs = _sequences(spark, sf)
-    return _decoded(seqs, _fit_once(seqs)).select("site_id", "event_id", "state")
+    return _decoded(_fixed_sequences(spark, sf), FIXED).select("site_id", "event_id", "state")
+
 
+_SHARES = ", ".join(f"avg(CASE WHEN {c} {op} {b} THEN 1 ELSE 0 END) AS prop_{c}_{side}" for c, (low, high) in _BOUNDS.items()
+                    for side, op, b in (("high", ">=", high), ("low", "<=", low)))
+_PROPS = [f"prop_{c}_{side}" for c in _BOUNDS for side in ("high", "low")]
 
-@query("m4_anomalous_states")
+
+@query("m4_anomalous_states", "decoded", f"""
+SELECT *, greatest({", ".join(_PROPS)}) >= 0.10 AS anomalous FROM (
+  SELECT CAST(state AS INTEGER) AS state, count(*) AS n_points, {_SHARES} FROM decoded GROUP BY state)""", " ".join(_PROPS))
 def m4(spark, sf):
-    seqs = _sequences(spark, sf)
-    stats = A.state_stats(_decoded(seqs, _fit_once(seqs)), "state", [], _BOUNDS)
+    stats = A.state_stats(_decoded(_fixed_sequences(spark, sf), FIXED), "state", [], _BOUNDS)
     worst = F.greatest(*[F.col(c) for c in stats.columns if c.startswith("prop_")])
     return stats.withColumn("anomalous", worst >= 0.10)
 
 
+@query("m3_decode_fitted")
+def m3_fitted(spark, sf):
+    seqs = _sequences(spark, sf)
+    return _decoded(seqs, _fit_once(seqs)).select("site_id", "event_id", "state")
+
+
 @query("m5_select_hmm")
 def m5(spark, sf):
     model, report = hmm.select_hmm(_sequences(spark, sf), KEYS, "ts", _STATE, "label", _BOUNDS, ks=[2, 3],
@@ -126,21 +181,47 @@ def m5(spark, sf):
                                  "n_states int, cutoff double, validation_f1 double, test_f1 double, n_anomalous int")
 
 
-@query("e3_detect")
+# bounds of the training days only, as a stored model carries them
+cte("train_readings", "readings", """
+SELECT r.* FROM readings r JOIN (
+  SELECT * FROM (SELECT DISTINCT site_id, CAST(ts AS DATE) AS day FROM readings)
+  QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY day) <= floor(count(*) OVER (PARTITION BY site_id) * 0.7::DOUBLE)) d
+ON d.site_id = r.site_id AND d.day = CAST(r.ts AS DATE)""")
+cte("tukey_train", "train_readings", """
+SELECT site_id, q1 - 0.5 * (q3 - q1) AS mild_lower, q3 + 0.5 * (q3 - q1) AS mild_upper, q1 - 1.5 * (q3 - q1) AS extreme_lower, q3 + 1.5 * (q3 - q1) AS extreme_upper
+FROM (SELECT site_id, quantile_cont(temperature, 0.25) AS q1, quantile_cont(temperature, 0.75) AS q3 FROM train_readings GROUP BY site_id)""")
+cte("state_runs", "decoded tukey_train", """
+SELECT d.*, mild_lower, mild_upper, extreme_lower, extreme_upper, sum(opens) OVER (PARTITION BY site_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run_id
+FROM (SELECT *, CASE WHEN lag(state) OVER w IS NULL OR lag(state) OVER w <> state OR lag(segment_id) OVER w <> segment_id THEN 1 ELSE 0 END AS opens
+      FROM decoded WINDOW w AS (PARTITION BY site_id ORDER BY ts)) d JOIN tukey_train USING (site_id)""")
+
+
+@query("e3_detect", "state_runs bounds", f"""
+SELECT printf('EP-%04d', row_number() OVER (PARTITION BY site_id ORDER BY start)) AS id, site_id,
+       'U' || CAST(site_id AS VARCHAR) AS equipment, 'collective' AS type, severity, direction, start,
+       round_even(duration_min * 10, 0) / 10 AS duration_min, round_even(peak_value * 100, 0) / 100 AS peak_value,
+       {_AGE.format(ref='last_ts', at='start')} AS status, 'environment' AS dimension
+FROM ({_CHARACTER.format(keys="site_id, run_id", src="(SELECT * FROM state_runs WHERE state = 1)")}) JOIN bounds USING (site_id)""", "duration_min peak_value")
 def e3(spark, sf):
-    """Readings -> features -> sequences -> states -> runs -> episodes."""
-    seqs = _sequences(spark, sf)
-    model = _fit_once(seqs)
-    stats = A.state_stats(_decoded(seqs, model), "state", [], _BOUNDS)
-    model.anomalous = hmm.anomalous_states(stats, 0.10)
+    """Readings -> sequences -> states -> runs -> episodes, past the bounds of the training days."""
     r = readings(spark, sf)
-    bounds = Q.tukey(r, KEYS, "temperature").select(*KEYS, "mild_lower", "mild_upper", "extreme_lower", "extreme_upper")
-    rows = durable_checkpoint(_decoded(seqs, model)).join(bounds, KEYS)
+    train = W.chrono_split(r, KEYS, "ts", by="day").filter("split = 'train'")
     names = {n: n for n in ("mild_lower", "mild_upper", "extreme_lower", "extreme_upper")}
+    rows = _decoded(_fixed_sequences(spark, sf), FIXED).join(Q.tukey(train, KEYS, "temperature").select(*KEYS, *names), KEYS)
     return E.state_episodes(rows, KEYS, "ts", "temperature", names, H.observation_bounds(r, KEYS, "ts"),
                             F.concat(F.lit("U"), F.col("site_id")), block_seconds=BLOCK)
 
 
+@query("t4_top_features", "", """
+SELECT event_type AS feature, CAST(row_number() OVER (ORDER BY m DESC, event_type) AS INTEGER) AS place
+FROM (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type) QUALIFY place <= 3""")
+def t4(spark, sf):
+    """The importance vector is the mean value of each event type: one entry a type."""
+    rows = table(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("m")).orderBy("event_type").collect()
+    top = FC.top_features([r["m"] for r in rows], [r["event_type"] for r in rows], 3)
+    return spark.createDataFrame([(f, i) for i, f in enumerate(top, 1)], "feature string, place int")
+
+
 @query("m6_isolation_forest")
 def m6(spark, sf):
     ev = durable_checkpoint(events(spark, sf))
