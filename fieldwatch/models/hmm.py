@@ -59,6 +59,7 @@ class HmmModel:
     log_likelihood: float
     converged: bool
     anomalous: list[int]
+    thresholds: dict[str, float] | None = None   # mild and extreme bounds of the training rows
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:

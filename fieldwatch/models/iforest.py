@@ -134,7 +134,7 @@ def _raw_scores(df: DataFrame, forest: Forest) -> DataFrame:
 
 
 def score_isolation(df: DataFrame, forest: Forest) -> DataFrame:
-    """Adds ``score`` (below 0 = outlier) and ``is_anomaly``."""
+    """Adds ``score`` (below 0 = outlier) and ``is_anomaly``; other columns, such as the dominant category, stay."""
     scored = _raw_scores(df, forest)
     return scored.withColumn("score", F.col("raw_score") - F.lit(forest.offset)).withColumn(
         "is_anomaly", F.col("score") < 0).drop("raw_score")

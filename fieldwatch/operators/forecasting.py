@@ -221,13 +221,14 @@ def top_features(importances: Sequence[float], features: Sequence[str], n: int)
 
 
 def fit_delta(frame: DataFrame, features: Sequence[str], keys: Sequence[str],
-              counts: Sequence[int] = tuple(K.FEATURE_COUNTS), rounds: int = 100, rate: float = 0.1,
+              counts: Sequence[int] = tuple(K.FEATURE_COUNTS), rounds: int = 2000, rate: float = 0.02,
               rank_depth: int = 4, depth: int = 3, weight: Column | None = None,
-              min_rows: int = K.MIN_TRAINING_ROWS, seed: int = 42) -> DeltaModel:
+              min_rows: int = K.MIN_TRAINING_ROWS, seed: int = 42, rank_share: float = 0.7, share: float = 0.8) -> DeltaModel:
     """Rank features with a wide model, refit on each top-N, keep the best validation MAE.
 
     Splits are chronological per key and medians come from training rows only.  Boosting
-    stops early on the validation rows.
+    stops early on the validation rows. ``rank_share`` and ``share``: features each tree may use, in
+    the ranking and in the final model.
     """
     keep = list(dict.fromkeys([*keys, HOUR, "overall_site_health", "target_health_6h", TARGET, *features]))
     # the wide frame is derived once; everything below reads the materialised rows
@@ -245,22 +246,23 @@ def fit_delta(frame: DataFrame, features: Sequence[str], keys: Sequence[str],
         (weight if weight is not None else F.lit(1.0)).alias("_w"),
         (F.col("split") == "validation").alias("_val")).persist()
     try:
-        def fit(cols: Sequence[str], tree_depth: int):
+        def fit(cols: Sequence[str], tree_depth: int, column_share: float):
             part = VectorSlicer(inputCol="_x", outputCol="_s", indices=[features.index(c) for c in cols])
             booster = GBTRegressor(featuresCol="_s", labelCol=TARGET, weightCol="_w",
                                    validationIndicatorCol="_val", maxIter=rounds, stepSize=rate,
-                                   maxDepth=tree_depth, subsamplingRate=0.8, minInstancesPerNode=8, seed=seed)
+                                   maxDepth=tree_depth, subsamplingRate=0.8, minInstancesPerNode=8,
+                                   featureSubsetStrategy=str(column_share), seed=seed)
             return part, booster.fit(part.transform(rows.filter("split != 'test'")))
 
         def score(part, model, name: str) -> dict:
             done = model.transform(part.transform(rows.filter(F.col("split") == name)))
             return eval_delta(done, "_current", "target_health_6h", "prediction").first().asDict()
 
-        wide = fit(features, rank_depth)[1]
+        wide = fit(features, rank_depth, rank_share)[1]
         best, by_count = None, {}
         for count in dict.fromkeys(min(c, len(features)) for c in counts):
             chosen = top_features(wide.featureImportances.toArray(), features, count)
-            part, model = fit(chosen, depth)
+            part, model = fit(chosen, depth, share)
             by_count[count] = score(part, model, "validation")["mae"]
             if best is None or by_count[count] < by_count[len(best[2])]:
                 best = (part, model, chosen)
@@ -279,7 +281,15 @@ def fit_delta(frame: DataFrame, features: Sequence[str], keys: Sequence[str],
         medians.unpersist()
 
 
-def fit_drop(frame: DataFrame, model: DeltaModel, trees: int = 100, depth: int = 8, seed: int = 42):
+def fit_weighted(frame: DataFrame, model: DeltaModel, weight: Column | None = None, **options) -> tuple[DeltaModel, dict]:
+    """The selected features fitted again under sample weights, and both test reports side by side."""
+    weighted = fit_delta(frame, model.features, model.keys, counts=(len(model.features),),
+                         weight=drop_weight() if weight is None else weight, **options)
+    return weighted, {"plain": model.metrics["selected"], "weighted": weighted.metrics["selected"],
+                      "persistence": model.metrics["persistence"]}
+
+
+def fit_drop(frame: DataFrame, model: DeltaModel, trees: int = 500, depth: int = 8, seed: int = 42):
     """Major-drop classifier on the selected features with a validation-chosen threshold.
 
     Returns ``(classifier, threshold, test metrics)`` or ``(None, None, reason)`` when the

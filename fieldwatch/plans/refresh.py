@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..models import hmm, iforest, store
+from ..operators import aggregates as A
 from ..operators import cleaning as C
 from ..operators import episodes as E
 from ..operators import forecasting as FC
@@ -16,7 +18,8 @@ from ..operators import hourgrid as H
 from ..operators import quantiles as Q
 from ..operators import scoring as S
 from ..operators import segments as G
-from ..session import prepare
+from ..operators import windows as W
+from ..session import durable_checkpoint, prepare
 from ..sources import layers as L
 
 SERIES, SITE = ["site_id", "sensor"], ["site_id"]
@@ -29,6 +32,8 @@ class Config:
     block_seconds: float = 86_400.0
     residual_std: float = 10.0
     model_path: str | None = None
+    state_model_path: str | None = None   # stored state model; without one the threshold detector runs
+    forest_path: str | None = None        # stored forest; adds alarm outliers to the episodes
     sources: Callable[[SparkSession], tuple[DataFrame, DataFrame]] | None = None
     batch_id: str = "batch"
     ingested_at: str | None = None   # required by the ingest stage
@@ -58,21 +63,51 @@ def transform(spark: SparkSession, cfg: Config) -> None:
 
 def detect(spark: SparkSession, cfg: Config) -> None:
     readings = L.read_layer(spark, cfg.root, "readings")
-    eps = E.threshold_episodes(
-        readings, SERIES, "ts", "temperature", Q.tukey(readings, SERIES, "temperature"),
-        H.observation_bounds(readings, SERIES, "ts"), F.col("sensor"), max_gap=cfg.max_gap,
-        block_seconds=cfg.block_seconds)
+    as_of = H.observation_bounds(readings, SERIES, "ts")
+    if cfg.state_model_path:
+        eps = detect_states(spark, cfg, readings, as_of)
+    else:
+        eps = E.threshold_episodes(
+            readings, SERIES, "ts", "temperature", Q.tukey(readings, SERIES, "temperature"), as_of, F.col("sensor"),
+            max_gap=cfg.max_gap, block_seconds=cfg.block_seconds)
+    if cfg.forest_path:
+        eps = eps.unionByName(detect_alarm_outliers(spark, cfg))
     # ids are unique within a site, whatever number of sensors it has
     L.write_gold(E.number_episodes(eps.drop("id"), SITE, ties=["sensor"]), cfg.root, "episodes")
 
 
+def detect_states(spark: SparkSession, cfg: Config, readings: DataFrame, as_of: DataFrame) -> DataFrame:
+    """Anomalous state runs that cross the stored training thresholds."""
+    model = store.load_state_model(spark, cfg.state_model_path)
+    if not model.thresholds:
+        raise ValueError("the stored state model carries no training thresholds")
+    rows = W.state_features(readings, SERIES, "ts", max_gap=cfg.max_gap, block_seconds=cfg.block_seconds)
+    seqs = durable_checkpoint(G.add_sequences(rows, SERIES, "ts", model.cols, cfg.max_gap, block_seconds=cfg.block_seconds))
+    return E.state_episodes(hmm.decode_rows(seqs, SERIES, model), SERIES, "ts", "temperature", model.thresholds, as_of,
+                            F.col("sensor"), block_seconds=cfg.block_seconds)
+
+
+def detect_alarm_outliers(spark: SparkSession, cfg: Config) -> DataFrame:
+    """Alarm events that the stored forest calls outliers, named by their dominant category."""
+    keys = [*SITE, "alarm_event"]
+    alarms = L.read_layer(spark, cfg.root, "alarms")
+    numbered = durable_checkpoint(G.add_events(alarms, SITE, "log_time", block_seconds=cfg.block_seconds, ties=["message"])
+                                  .withColumnRenamed("event_id", "alarm_event"))
+    events = A.event_features(numbered, keys, "log_time", "message", "state").join(
+        A.dominant(numbered, keys, "category"), keys)
+    scored = iforest.score_isolation(events, store.load_forest(spark, cfg.forest_path))
+    found = iforest.outlier_episodes(scored, [*SITE, "dominant_category"]).withColumnRenamed("dominant_category", "sensor")
+    as_of = alarms.groupBy(*SITE).agg(F.max("log_time").alias("last_ts"))
+    as_of = found.select(*SERIES).distinct().join(as_of, SITE)
+    return E.finish_episodes(found, SERIES, as_of, F.col("sensor"), dimension="scada")
+
+
 def score(spark: SparkSession, cfg: Config) -> None:
     hourly = S.health_scores(L.read_layer(spark, cfg.root, "readings"), L.read_layer(spark, cfg.root, "alarms"), SITE,
                              reading_order=["sensor"], strict=False)
     L.write_gold(hourly, cfg.root, "hourly")
     stored = spark.read.parquet(f"{cfg.root}/hourly").select(*L.SCHEMAS["hourly"])
-    from ..operators.windows import trend_volatility
-    trends = trend_volatility(stored.drop("overall_site_health_trend_24h", "overall_site_health_volatility_24h"), SITE,
+    trends = W.trend_volatility(stored.drop("overall_site_health_trend_24h", "overall_site_health_volatility_24h"), SITE,
                               H.HOUR, ["overall_site_health", *K.SUBSYSTEM_HEALTH])
     L.write_gold(S.snapshot(trends, SITE), cfg.root, "snapshot")
     L.write_gold(L.gold_meta(L.read_layer(spark, cfg.root, "readings"), SITE), cfg.root, "gold_meta")

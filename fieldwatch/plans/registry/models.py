@@ -17,8 +17,9 @@ from ...operators import hourgrid as H
 from ...operators import quantiles as Q
 from ...operators import segments as G
 from ...operators import windows as W
+from ...operators.cleaning import categorise
 from ...session import durable_checkpoint
-from .alarms_scoring import events, scored
+from .alarms_scoring import EVENT_KEYS, alarm_events, events, scored
 from .base import BLOCK, GAP, KEYS, cte, query, readings, table
 from .episodes import _AGE, _CHARACTER
 from .grid import filled
@@ -224,9 +225,28 @@ def t4(spark, sf):
 
 @query("m6_isolation_forest")
 def m6(spark, sf):
-    ev = durable_checkpoint(events(spark, sf))
+    """Scores and the dominant category of every alarm event."""
+    kinds = A.dominant(categorise(alarm_events(spark, sf), "message"), EVENT_KEYS, "category")
+    ev = durable_checkpoint(events(spark, sf).join(kinds, EVENT_KEYS))
     forest = iforest.fit_isolation(ev, row_id=["site_id", "alarm_event"])
-    return iforest.score_isolation(ev, forest).select("site_id", "alarm_event", "is_anomaly", "score")
+    return iforest.score_isolation(ev, forest).select("site_id", "alarm_event", "is_anomaly", "score", "dominant_category")
+
+
+#: Two small trees over (total_alarms, duration_sec), so that scores have a SQL counterpart.
+FIXED_FOREST = iforest.Forest(
+    ["total_alarms", "duration_sec"], hmm.Scaler([0.0, 0.0], [1.0, 1.0]),
+    [tuple(hmm.np.array(x) for x in ([0, -1, 1, -1, -1], [3.0, 0.0, 600.0, 0.0, 0.0], [1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0.0, 2.0, 0.0, 2.5, 1.0])),
+     tuple(hmm.np.array(x) for x in ([1, -1, -1], [60.0, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [0.0, 3.0, 1.5]))], 8, -0.5)
+FOREST_SQL = """
+SELECT site_id, alarm_event, score < 0 AS is_anomaly, score FROM (
+  SELECT site_id, alarm_event, 0.5 - pow(2.0::DOUBLE, -((CASE WHEN total_alarms <= 3 THEN 2.0 WHEN duration_sec <= 600 THEN 2.5 ELSE 1.0 END
+         + CASE WHEN duration_sec <= 60 THEN 3.0 ELSE 1.5 END) / 2)::DOUBLE / (2 * (ln(7.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 14.0::DOUBLE / 8)) AS score
+  FROM event_features)"""
+
+
+@query("m6_score_fixed_forest", "event_features", FOREST_SQL, "score")
+def m6_fixed(spark, sf):
+    return iforest.score_isolation(events(spark, sf), FIXED_FOREST).select("site_id", "alarm_event", "is_anomaly", "score")
 
 
 @query("m6_isolation_embeddings")
@@ -327,10 +347,10 @@ def m13(spark, sf):
     return frame.select("site_id", "timestamp", *wanted)
 
 
-def _fitted(spark, sf, weight=None):
+def _fitted(spark, sf):
     hourly = frame_hourly(spark, sf)
     frame, names = FC.model_frame(hourly, KEYS, _SOURCES)
-    return hourly, frame, FC.fit_delta(frame, names, KEYS, counts=(10, 20), rounds=10, weight=weight)
+    return hourly, frame, FC.fit_delta(frame, names, KEYS, counts=(10, 20), rounds=10, rate=0.1)
 
 
 def served_model(spark, sf):
@@ -353,7 +373,10 @@ def m7(spark, sf):
 
 @query("m8_fit_delta_weighted")
 def m8(spark, sf):
-    return _metric_rows(spark, _fitted(spark, sf, FC.drop_weight())[2], "weighted")
+    _, frame, model = _fitted(spark, sf)
+    _, report = FC.fit_weighted(frame, model, rounds=10, rate=0.1)
+    rows = [(variant, metric, float(v)) for variant, r in report.items() for metric, v in r.items() if isinstance(v, (int, float))]
+    return spark.createDataFrame(rows, "variant string, metric string, value double")
 
 
 @query("m9_fit_drop")

@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ...models import iforest, store
 from ...operators import forecasting as FC
 from ...sources import layers as L
 from ...session import shared_folder
 from ..refresh import Config, refresh
+from .alarms_scoring import events
 from .base import BLOCK, GAP, alarms, cte, query, readings
-from .models import served_model
+from .models import FIXED, FIXED_FOREST, FOREST_SQL, _decoded, _fixed_sequences, served_model
 from .episodes import _CHARACTER as CHARACTER
 from .segments import hysteresis_sql, segmented
 
@@ -97,3 +99,17 @@ def s18(spark, sf):
     at = _folder(spark, "model")
     FC.save_model(model, at)
     return FC.predict_next(hourly, FC.load_model(spark, at))
+
+
+@query("s18_state_model_round_trip", "decoded", "SELECT site_id, event_id, CAST(state AS INTEGER) AS state FROM decoded")
+def s18_state(spark, sf):
+    at = _folder(spark, "state-model")
+    store.save_state_model(spark, FIXED, at)
+    return _decoded(_fixed_sequences(spark, sf), store.load_state_model(spark, at)).select("site_id", "event_id", "state")
+
+
+@query("s18_forest_round_trip", "event_features", FOREST_SQL, "score")
+def s18_forest(spark, sf):
+    at = _folder(spark, "forest")
+    store.save_forest(spark, FIXED_FOREST, at)
+    return iforest.score_isolation(events(spark, sf), store.load_forest(spark, at)).select("site_id", "alarm_event", "is_anomaly", "score")

@@ -65,3 +65,32 @@ def test_refresh_export_import(spark, tmp_path):
     layers.import_gold(spark, out, target, replace_existing=True)
     with pytest.raises(ValueError):
         layers.import_gold(spark, str(tmp_path / "nothing"), target)
+
+
+def test_refresh_with_stored_models(spark, tmp_path):
+    """The stored state model replaces the threshold detector; the stored forest adds alarm outliers."""
+    import numpy as np
+
+    from fieldwatch.models import hmm, iforest, store
+    readings, alarms = site(spark, 120)
+    readings = readings.withColumn("sensor", F.lit("room")).withColumn(
+        "temperature", F.when(F.minute("ts") < 20, F.col("temperature") + 30).otherwise(F.col("temperature")))
+    alarms = alarms.withColumn("send_time", F.col("log_time"))
+    params = hmm.Params(np.array([0.5, 0.5]), np.full((2, 2), 0.5), np.array([[24.5, 46.0], [54.5, 46.0]]), np.full((2, 2), 4.0))
+    model = hmm.HmmModel(params, hmm.Scaler([0.0, 0.0], [1.0, 1.0]), ["temperature", "humidity"], 0.0, True, [1],
+                         {"mild_lower": 0.0, "mild_upper": 40.0, "extreme_lower": -10.0, "extreme_upper": 60.0})
+    forest = iforest.Forest(["total_alarms"], hmm.Scaler([0.0], [1.0]), [tuple(map(np.array, ([-1], [0.0], [-1], [-1], [1.0])))], 8, 0.0)
+    store.save_state_model(spark, model, str(tmp_path / "state"))
+    store.save_forest(spark, forest, str(tmp_path / "forest"))
+    back = store.load_state_model(spark, str(tmp_path / "state"))
+    assert back.thresholds == model.thresholds and np.array_equal(back.params.mean, params.mean)
+    with pytest.raises(ValueError):
+        store.load_forest(spark, str(tmp_path / "state"))
+    root = str(tmp_path / "lake")
+    skip = lambda *_: None
+    refresh(spark, Config(root, sources=lambda s: (readings, alarms), ingested_at="2026-02-01 00:00:00", state_model_path=str(tmp_path / "state"),
+                          forest_path=str(tmp_path / "forest"), stages={"score": skip, "forecast": skip}))
+    eps = layers.read_layer(spark, root, "episodes")
+    found = {r["dimension"]: r["n"] for r in eps.groupBy("dimension").agg(F.count("*").alias("n")).collect()}
+    assert found["environment"] == 120 and found["scada"] > 0 and eps.select("site_id", "id").distinct().count() == eps.count()
+    assert {r["equipment"] for r in eps.filter("dimension = 'scada'").collect()} <= {"UPS", "CLIM", "ENERGY", "OTHER"}
