@@ -104,10 +104,10 @@ def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ask(docs: DataFrame, question: Callable[[Block], Iterable[tuple[int, bytes]]]) -> DataFrame:
+def ask(docs: DataFrame, question: Callable[[Block], Iterable[tuple[int, bytes]]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per block and bucket, as ``ASKED``; ``docs`` is ``doc_id, text``."""
     def asked(batches):
-        for block in read_blocks(batches):
+        for block in read_blocks(batches, block_bytes):
             rows, digest = list(question(block)), block.digest
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -139,10 +139,10 @@ def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> Dat
 
 
 def meet(docs: DataFrame, answers: DataFrame, work: Callable[[Block, dict[int, bytes]], pa.Table], schema: str,
-         empty: pa.Schema) -> DataFrame:
-    """``work`` on every block with the answers to it by bucket."""
+         empty: pa.Schema, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``work`` on every block with the answers to it by bucket; blocks must be cut as for :func:`ask`."""
     def packed(batches):
-        for block in read_blocks(batches):
+        for block in read_blocks(batches, block_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([block.key], pa.int64()), pa.array([block.digest], pa.int64()),
                                               pa.array([block.pack()], pa.binary())], ["block", "digest", "payload"])
 

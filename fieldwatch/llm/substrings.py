@@ -28,6 +28,7 @@ LENGTH = 50
 WINDOW = 20
 BUCKETS = 256      # named by the highest bits of a trigger's hash: a power of two, 256 or more in production
 GROUP_BYTES = 1 << 18
+BLOCK_BYTES = 4 << 20   # a block takes about thirty times its size while its phrases are matched
 REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()),
                      ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -273,11 +274,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         repeated = smallest[np.repeat(begin, count) + step] < np.repeat(block.ids[p.doc[rows]], count)
         at = (np.repeat(p.start[rows], count) + step)[repeated]
+        del strings, known, place, parts, smallest, begin, step, repeated
         lengths = np.fromiter(map(len, block.texts), np.int64, len(block.texts))
-        change = np.zeros(lengths.sum() + 1, np.int64)
+        change = np.zeros(lengths.sum() + 1, np.int32)
         np.add.at(change, at, 1)
         np.add.at(change, at + length, -1)
-        covered = np.cumsum(change[:-1]) > 0
+        covered = np.cumsum(change[:-1], dtype=np.int32) > 0
         ends = np.cumsum(lengths)
         spans, kept = [], []
         for text, a, b in zip(block.texts, (ends - lengths).tolist(), ends.tolist()):
@@ -295,11 +297,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     if buckets & (buckets - 1) or buckets < 2:
         raise ValueError("buckets must be a power of two")
     texts = documents_of(docs, id_col, text_col)
-    flags = answer(ask(texts, triggers_asked), triggers_shared)
+    flags = answer(ask(texts, triggers_asked, BLOCK_BYTES), triggers_shared)
     phrases = meet(texts, flags, phrases_asked, "bucket int, block bigint, digest bigint, payload binary",
-                   pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("payload", pa.binary())]))
+                   pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("payload", pa.binary())]), BLOCK_BYTES)
     return meet(texts, answer(phrases, smallest_documents), cut,
-                "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary", REMOVED)
+                "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary", REMOVED, BLOCK_BYTES)
 
 
 def removal_digests(removed: DataFrame) -> DataFrame:
