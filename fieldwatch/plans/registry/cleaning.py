@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ... import constants as K
 from ...operators import cleaning as C
 from ...sources import files, layers
+from ...session import shared_folder
 from .base import KEYS, alarms, cte, query, readings, table
 
 
@@ -23,28 +26,37 @@ def _raw_text(spark, sf):
         F.col("humidity").cast("string").alias("Humidité"))
 
 
+def _csv(df):
+    """The rows as text files, one header line in each."""
+    at = f"{shared_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    df.write.option("header", True).option("encoding", "ISO-8859-1").csv(at)
+    return at
+
+
 @query("s1_read_readings", "readings", """
 SELECT site_id, date_trunc('second', ts) AS ts,
        CASE WHEN event_id % 50 <> 0 THEN temperature END AS temperature, humidity, 'room' AS sensor
 FROM readings WHERE event_id % 101 <> 0""", "temperature humidity")
 def s1(spark, sf):
-    return files.parse_readings(_raw_text(spark, sf), F.col("site_id"), "room")
+    scanned = files.scan_text_csv(spark, _csv(_raw_text(spark, sf)))
+    return files.parse_readings(scanned, F.col("site_id").cast("bigint"), "room")
 
 
 @query("s2_read_alarm_log", "alarms", """
 SELECT state, log_time, message, send_time FROM alarms""")
 def s2(spark, sf):
     raw = alarms(spark, sf).withColumnsRenamed({"log_time": "time", "send_time": "send Time"})
-    return files.parse_alarm_log(raw)
+    columns = ["state", "time", "message", "send Time"]
+    scanned = files.read_alarm_log(spark, _csv(raw.select(*[F.col(c).cast("string") for c in columns])), columns)
+    return scanned.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("log_time", "send_time")})
 
 
 def _ups(spark, sf):
     described = F.when(F.col("event_id") % 4 == 0, F.concat("message", F.lit(" HAS been Restored"))) \
                  .otherwise(F.col("message"))
-    return files.parse_ups_events(alarms(spark, sf).select(
-        "site_id", F.date_format("log_time", "dd/MM/yyyy").alias("Date"),
-        F.date_format("log_time", "HH:mm:ss").alias("Time"), described.alias("Description")),
-        "SITE UPS ")
+    rows = alarms(spark, sf).select(F.date_format("log_time", "dd/MM/yyyy").alias("Date"),
+                                    F.date_format("log_time", "HH:mm:ss").alias("Time"), described.alias("Description"))
+    return files.read_ups_events(spark, _csv(rows), "SITE UPS ")
 
 
 cte("ups", "alarms", """
