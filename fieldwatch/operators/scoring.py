@@ -251,24 +251,18 @@ def trend_label(df: DataFrame, change: str = "overall_site_health_trend_24h") ->
         c >= small, "Improving").otherwise("Stable"))
 
 
-ADVICE = {
-    "routine": "Keep up routine monitoring",
-    "battery_urgent": "Urgent UPS battery inspection: capacity, charger, repeated discharges",
-    "battery_check": "Inspect UPS batteries and charging; review recent discharges",
-    "battery_review": "Review battery alarms, UPS condition and recurrence",
-    "energy_urgent": "Urgent mains investigation: generator, transfer switch, backup supply",
-    "energy_check": "Investigate the recent outage and verify the transfer to backup",
-    "energy_review": "Inspect supply instability, generator activity and repeated transfers",
-    "cooling": "Inspect cooling: high temperature",
-    "humidity": "Inspect ventilation and humidity control",
-    "ambient": "Inspect cooling, sensor stability and ambient conditions",
-    "review": "Review the sub-scores and recent alarms",
-}
-
-
-def recommend(df: DataFrame) -> DataFrame:
-    """Decision table: health, then driver, then how long or how far it is out of range."""
-    say = {k: F.lit(v) for k, v in ADVICE.items()}
+#: Stable codes of the recommended action; a caller brings the wording for its readers.
+ADVICE = {code: code for code in (
+    "routine", "battery_urgent", "battery_check", "battery_review", "energy_urgent", "energy_check", "energy_review",
+    "cooling", "humidity", "ambient", "review")}
+
+
+def recommend(df: DataFrame, wording: Mapping[str, str] | None = None) -> DataFrame:
+    """Decision table: health, then driver, then how long or how far it is out of range.
+
+    ``recommended_action`` is a code of ``ADVICE``, or its text where ``wording`` has one.
+    """
+    say = {k: F.lit((wording or {}).get(k, v)) for k, v in ADVICE.items()}
     driver, outage = F.col("main_risk_driver"), _positive("outage_duration_hours")
     battery = _positive("battery_alarm_duration_hours")
     dry_or_damp = (F.col("humidity") < 35) | (F.col("humidity") > 60)
