@@ -324,7 +324,38 @@ def frame_hourly(spark, sf):
     return durable_checkpoint(scored(spark, sf).select("site_id", "timestamp", *keep))
 
 
-@query("m12_model_frame")
+cte("scored_index", "scored", "SELECT *, CAST(row_number() OVER (PARTITION BY site_id ORDER BY timestamp) AS DOUBLE) AS i FROM scored")
+
+
+def _frame_sql():
+    """Expression by feature name, in no particular order; only whether it is null matters for its count."""
+    o = "OVER (PARTITION BY site_id ORDER BY timestamp"
+    full = lambda c, n: f"CASE WHEN count({c}) {o} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) >= {n} THEN 1 END"
+    health, out = "overall_site_health", {c: c for c in K.CURRENT_FEATURES}
+    base = {f"overall_health_lag_{n}h": f"lag({health}, {n}) {o})" for n in K.HEALTH_LAGS}
+    base |= {f"health_{k}_{n}h": full(health, n) for n in K.HEALTH_WINDOWS for k in ("mean", "std", "min")}
+    base |= {f"{c}_lag_{n}h": f"lag({c}, {n}) {o})" for c in K.SUBSYSTEM_HEALTH for n in K.SUBSYSTEM_LAGS}
+    base |= {f"overall_health_change_{n}h": f"{health} - lag({health}, {n}) {o})" for n in K.HEALTH_CHANGES}
+    hourly_columns = {*K.CURRENT_FEATURES, *K.TRAJECTORY_SOURCES}
+    for c in K.TRAJECTORY_SOURCES:
+        out |= {n: e for n, e in trajectory_sql(c).items() if n not in base and n not in hourly_columns}
+    products = {"energy_battery_risk": ("energy_risk_score", "battery_risk_score"), "environmental_energy_risk": ("environmental_risk_score", "energy_risk_score"),
+                "environmental_battery_risk": ("environmental_risk_score", "battery_risk_score"),
+                "energy_battery_anomaly_burden": ("energy_anomaly_burden", "battery_anomaly_burden")}
+    cross = {f"interaction_{n}": f"{x} * {y}" for n, (x, y) in products.items()}
+    cross |= {"max_subsystem_risk": f"coalesce({', '.join(K.SUBSYSTEM_RISK)})"}
+    cross |= {n: f"coalesce({', '.join(K.SUBSYSTEM_HEALTH)})" for n in ("min_subsystem_health", "subsystem_health_spread")}
+    never_null = [*FC.STREAKS, "subsystems_below_80", "subsystems_below_60", *FC.CALENDAR]
+    return out | base | cross | {n: "1" for n in never_null}
+
+
+_FRAME = _frame_sql()
+
+
+@query("m12_model_frame", "scored_index", f"""
+SELECT site_id, unnest([{", ".join(f"{{'feature': '{n}', 'filled': count(x{i})}}" for i, n in enumerate(_FRAME))}], recursive := true)
+FROM (SELECT site_id, {", ".join(f"{e} AS x{i}" for i, e in enumerate(_FRAME.values()))}
+      FROM (SELECT *, overall_site_health_smoothed AS overall_site_health_smoothed_6h, energy_risk_score AS energy_risk_score_calibrated FROM scored_index)) GROUP BY site_id""")
 def m12(spark, sf):
     """Every feature of every source (about 1,100 columns), reduced to its filled-in count."""
     frame, names = FC.model_frame(frame_hourly(spark, sf), KEYS)
@@ -333,9 +364,6 @@ def m12(spark, sf):
                                         ).alias("r")).select(*KEYS, "r.*")
 
 
-cte("scored_index", "scored", "SELECT *, CAST(row_number() OVER (PARTITION BY site_id ORDER BY timestamp) AS DOUBLE) AS i FROM scored")
-
-
 @query("m13_pruned_frame", "scored_index", f"""
 SELECT site_id, timestamp, {trajectory_sql('overall_site_health')['overall_site_health_slope_6h']} AS overall_site_health_slope_6h,
        {trajectory_sql('energy_risk_score')['energy_risk_score_rollmean_12h']} AS energy_risk_score_rollmean_12h FROM scored_index""",
