@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20    # a block takes some twenty to thirty times its size in its task
 BUCKETS = 256            # raise with the corpus: a bucket's distinct keys should fit a task
 NO_ID = np.iinfo(np.int64).max
 
@@ -34,7 +34,7 @@ _NAMES = ["bucket", "block", "digest", "payload"]
 def squeeze(*parts: bytes) -> bytes:
     """Several byte strings as one compressed value."""
     head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(parts))
 
 
 def expand(value: bytes) -> list[bytes]:

@@ -26,6 +26,7 @@ from tokenizers import Tokenizer
 from .blocks import BUCKETS, Block, answer, ask, documents_of, expand, meet, squeeze
 
 MODEL = "word_bpe_49k.json"
+AT_ONCE = 1024   # words handed to the library at once; its results are large
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
 
@@ -67,9 +68,12 @@ def words_by_bucket(block: Block, buckets: int) -> list[list[bytes]]:
 
 def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """How many ids each word has, and all ids in order."""
-    encodings = [e.ids for e in tokenizer(path).encode_batch([w.decode() for w in words], add_special_tokens=False)]
-    return (np.fromiter(map(len, encodings), np.int64, len(words)),
-            np.array([i for ids in encodings for i in ids], np.uint32))
+    counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for at in range(0, len(words), AT_ONCE):
+        encodings = [e.ids for e in tokenizer(path).encode_batch([w.decode() for w in words[at:at + AT_ONCE]], add_special_tokens=False)]
+        counts.append(np.fromiter(map(len, encodings), np.int64, len(encodings)))
+        ids.append(np.array([i for e in encodings for i in e], np.uint32))
+    return np.concatenate(counts), np.concatenate(ids)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, buckets: int = BUCKETS, id_col: str = "doc_id",
@@ -114,6 +118,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, buckets: int = BU
                 for word, a, b in zip(words, [0, *ends[:-1]], ends, strict=True):
                     ids_of[word] = ids[4 * a:4 * b]
                     text_of[word] = b" ".join([table[i] for i in numbers[a:b]])
+        del answers
         encoded, decoded = [], []
         for text in block.texts:
             words = text.split()
