@@ -55,6 +55,12 @@ def rolling_hash(data: np.ndarray, width: int) -> np.ndarray:
     return out ^ out >> np.uint64(32)
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """Triggers are the smallest hashes of their strings; mixed again, they fill all buckets alike."""
+    hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return hashes ^ hashes >> np.uint64(29)
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     out, size = values, 1
     while 2 * size <= width:
@@ -64,7 +70,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Phrases:
-    """The phrases of a block: document, first byte, length, trigger hash and its offset in the phrase."""
+    """The phrases of a block: document, first byte, length, spread trigger hash and the trigger's offset."""
 
     def __init__(self, block: Block, length: int = LENGTH, window: int = WINDOW):
         found: list[tuple[np.ndarray, ...]] = []
@@ -81,7 +87,7 @@ class Phrases:
                 size += len(text)
         fields = [np.concatenate(f) for f in zip(*found)] if found else [np.zeros(0, np.int64)] * 5
         self.doc, self.start, self.size, self.hash, self.offset = fields
-        self.hash = self.hash.astype(np.uint64)
+        self.hash = spread(self.hash.astype(np.uint64))
 
     @staticmethod
     def _parse(block, group, base, length, window):

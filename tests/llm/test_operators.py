@@ -272,6 +272,15 @@ def test_repeated_substrings(docs, stored):
         assert rows_of(substrings.removal_digests(substrings.remove_repeats(df))) == brute_repeats(rows)
 
 
+@needs_data
+def test_triggers_fill_all_buckets_alike(stored):
+    texts = [r["text"].encode() for r in stored.collect()]
+    phrases = substrings.Phrases(substrings.Block(0, np.arange(len(texts)), texts))
+    held = np.bincount(substrings._bucket(phrases.hash, 16), minlength=16)
+    assert held.max() < 1.5 * held.mean()
+    assert held.sum() == len(phrases.size) and (phrases.size - 49).sum() == sum(max(0, len(t) - 49) for t in texts)
+
+
 def test_repeated_substrings_of_periodic_and_overlapping_texts(spark):
     rng = np.random.default_rng(11)
     pieces = ["ab" * 40, "abc" * 30, "a" * 75, "".join(rng.choice(list("ab"), 300)), "".join(rng.choice(list("abcdef"), 400))]
