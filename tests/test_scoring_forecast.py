@@ -53,7 +53,7 @@ def test_dropout_is_not_a_reading(spark):
 def test_features_do_not_look_ahead(hourly):
     cut = hourly.orderBy("timestamp").limit(370)
     wanted = ["overall_site_health_slope_6h", "overall_health_lag_24h", "energy_risk_score_rollstd_12h",
-              "overall_site_health_consecutive_decline_hours"]
+              "overall_health_consecutive_decline_hours"]
     last = lambda d: FC.model_frame(d, KEY, ["overall_site_health", "energy_risk_score"])[0].select("timestamp", *wanted)
     short = last(cut).orderBy(F.col("timestamp").desc()).first()
     full = last(hourly).filter(F.col("timestamp") == F.lit(short["timestamp"])).first()
