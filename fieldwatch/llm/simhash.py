@@ -28,12 +28,12 @@ BLOCKS = 7       # 3 of 7 blocks make 35 keys of 27 bits; with 8 blocks, 70 keys
 SEED = 42
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
     """The 64-bit fingerprint of one whole text, 0 where it has no words."""
     words = text.encode().lower().split() if text else []   # bytes methods: A-Z only, [\x20\x09-\x0D] only
     if not words:
         return 0
-    grams = list(zip(*(words[k:] for k in range(WIDTH)), strict=False)) or [tuple(words)]
+    grams = list(zip(*(words[k:] for k in range(width)), strict=False)) or [tuple(words)]
     digest = xxhash.xxh64_digest
     hashes = np.frombuffer(b"".join([digest(b" ".join(g), SEED) for g in grams]), np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
@@ -42,10 +42,10 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprint_column(text: Column) -> Column:
+def fingerprint_column(text: Column, width: int = WIDTH) -> Column:
     @F.arrow_udf("bigint")
     def fingerprints(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64))
     return fingerprints(text.cast("string"))
 
 
@@ -121,7 +121,7 @@ def fingerprint_components(prints: DataFrame, blocks: int = BLOCKS, distance: in
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS,
-                    distance: int = DISTANCE) -> DataFrame:
+                    distance: int = DISTANCE, width: int = WIDTH) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
     Fingerprints link at ``distance`` or fewer differing bits; a component's id is the smallest
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id names a component only where nothing else is in it. Repeated rows are alike. An empty
     table gives no rows. Other columns are not read.
     """
-    rows = durable_checkpoint(docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_column(F.col(f"`{text_col}`")).alias("fp")))
+    rows = durable_checkpoint(docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_column(F.col(f"`{text_col}`"), width).alias("fp")))
     prints = durable_checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = fingerprint_components(prints.select("fp"), blocks, distance)
     rooted = durable_checkpoint(prints.join(linked, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
@@ -138,11 +138,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS,
+                         distance: int = DISTANCE, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` that stay: of every component the document with the smallest id.
 
     Rows that share that id stay together; rows without an id stay.
     """
-    gone = (near_duplicates(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id"))
+    gone = (near_duplicates(docs, id_col, text_col, blocks, distance, width).filter(F.col("doc_id") != F.col("component_id"))
             .select(F.col("doc_id").alias("_gone_id")).distinct())
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left_anti")

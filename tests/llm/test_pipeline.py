@@ -93,6 +93,58 @@ def test_stages_on_odd_rows(spark):
     assert rows_of(STAGES["bpe"](spark, docs, "")) == brute_encode_stage(rows)
 
 
+@needs_data
+def test_near_stage_links_every_similar_pair(spark):
+    """Brute force over five-word shingles of sf0.01; four bits of SimHash miss most of these pairs."""
+    ready(spark)
+    stored = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in stored.collect())
+
+    def shingles(text):
+        w = [x.lower() for x in split_words(text)]
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    sets = [shingles(t) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+    wide = 0
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                wide += (brute_fingerprint(rows[a][1]) ^ brute_fingerprint(rows[b][1])).bit_count() > 4
+                low, high = sorted((root(a), root(b)))
+                top[high] = low
+    assert wide
+    got = {r["doc_id"] for r in STAGES["simhash_near_dedup"](spark, stored, "").collect()}
+    assert got == {rows[i][0] for i in range(len(rows)) if root(i) == i}
+
+
+def test_dense_groups_of_similar_texts_lose_no_link(spark):
+    """Copies of one text that are not all alike pairwise, beside texts that share a passage only."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for k in rng.choice(60, 1, replace=False):
+            w[k] = f"x{rng.integers(8)}"
+        texts.append(" ".join(w))
+    texts += [" ".join([*base[:12], *(f"y{i}_{j}" for j in range(20))]) for i in range(80)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(dict.fromkeys(texts))]
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for _, t, *_ in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    got = {r["doc_id"] for r in STAGES["simhash_near_dedup"](ready(spark), frame(spark, rows, False), "").collect()}
+    assert got == set(group)
+
+
 def test_stages_take_empty_tables(spark):
     nothing = frame(spark, [])
     assert all(stage(spark, nothing, "").collect() == [] for stage in STAGES.values())
