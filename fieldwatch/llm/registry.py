@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, quality, sharding, simhash, substrings, token_counts, url_filter
+from . import (bpe, byte_bpe, chat, exact_dedup, filter_audit, mixing, quality, sharding, simhash, substrings, token_counts, url_filter,
+               vector_codes)
 from .common import table
 
 
@@ -57,9 +58,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col(n["target"]).alias("target"), (F.col(n["size"]) * F.col(n["copies"])).alias("taken"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoded_digests(byte_bpe.encode_documents(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_url_filter, op3_bpe, op4_exact_dedup, op5_token_counts, op6_suffix_array_dedup,
-    op7_chat_format, op8_quality_rules, op9_sharding, op10_mixing)}
+    op7_chat_format, op8_quality_rules, op9_sharding, op10_mixing, op11_vector_codes, op12_filter_audit, op13_byte_bpe)}
 
 SQL: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE,
-                       "op7_chat_format": chat.ORACLE, "op10_mixing": mixing.ORACLE}
+                       "op7_chat_format": chat.ORACLE, "op10_mixing": mixing.ORACLE,
+                       "op11_vector_codes": vector_codes.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
