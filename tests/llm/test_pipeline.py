@@ -12,12 +12,11 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fieldwatch.llm import quality
+from fieldwatch.llm import jaccard, quality
 from fieldwatch.llm.common import ready
 
-from .cases import DOCS, frame
-from .test_operators import (SF, brute_components, brute_exact, brute_fingerprint, brute_water, key, needs_data, rows_of, sha,
-                             split_words)
+from .cases import documents, frame
+from .test_operators import SF, brute_exact, brute_fingerprint, brute_water, key, needs_data, rows_of, sha, split_words
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -33,14 +32,34 @@ def brute_exact_stage(rows):
     return out
 
 
+def shingle_set(text):
+    """Five-word shingles, A-Z lower-cased; a shorter text is one shingle."""
+    w = [x.lower() for x in split_words(text)]
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def brute_groups(texts):
+    """The smallest place reachable from each over pairs with a Jaccard similarity of 4/5 or more."""
+    sets, top = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                low, high = sorted((root(a), root(b)))
+                top[high] = low
+    return [root(i) for i in range(len(texts))]
+
+
 def brute_near_stage(rows):
-    prints = [brute_fingerprint(r[1]) for r in rows]
-    group = brute_components(set(prints))
-    first = {}
-    for r, p in zip(rows, prints):
+    group, first = brute_groups([r[1] for r in rows]), {}
+    for r, g in zip(rows, group):
         if r[0] is not None:
-            first[group[p]] = min(first.get(group[p], r[0]), r[0])
-    gone = {r[0] for r, p in zip(rows, prints) if r[0] is not None and r[0] != first[group[p]]}
+            first[g] = min(first.get(g, r[0]), r[0])
+    gone = {r[0] for r, g in zip(rows, group) if r[0] is not None and r[0] != first[g]}
     return [r for r in rows if r[0] not in gone]
 
 
@@ -73,9 +92,16 @@ def test_stages_are_the_dealt_ones():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_near_dedup", "mixing", "bpe"]
 
 
+NEAR = " ".join(f"near{i}" for i in range(60))
+#: similar texts whose fingerprints differ widely, equal texts under null and repeated ids
+BETWEEN = [(800, NEAR, "en", "src1", 0), (801, NEAR.replace("near59", "other"), "en", "src1", 0), (802, NEAR.replace("near0 ", "else "), None, None, 0),
+           (None, NEAR, None, None, None), (803, NEAR.upper(), "en", "src1", 0), (803, NEAR.replace("near30", "far"), "en", "src1", 0),
+           (804, NEAR.replace("near30", "far"), "en", "src1", 0), (805, " ".join(NEAR.split()[:40]), "en", "src1", 0)]
+
+
 def test_stages_on_odd_rows(spark):
     ready(spark)
-    docs = frame(spark).cache()
+    docs = frame(spark, documents() + BETWEEN).cache()
     rows = plain(docs)
     kept = STAGES["quality_rules"](spark, docs, "")
     verdict = Counter((r["doc_id"], r["kept"]) for r in quality.judge_quality(docs).collect())
@@ -100,26 +126,11 @@ def test_near_stage_links_every_similar_pair(spark):
     stored = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in stored.collect())
 
-    def shingles(text):
-        w = [x.lower() for x in split_words(text)]
-        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
-    sets = [shingles(t) for _, t in rows]
-    top = list(range(len(rows)))
-
-    def root(i):
-        while top[i] != i:
-            i = top[i]
-        return i
-    wide = 0
-    for b, y in enumerate(sets):
-        for a, x in enumerate(sets[:b]):
-            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
-                wide += (brute_fingerprint(rows[a][1]) ^ brute_fingerprint(rows[b][1])).bit_count() > 4
-                low, high = sorted((root(a), root(b)))
-                top[high] = low
-    assert wide
+    group = brute_groups([t for _, t in rows])
+    prints = [brute_fingerprint(t) for _, t in rows]
+    assert any(g != i and (prints[g] ^ prints[i]).bit_count() > 4 for i, g in enumerate(group))
     got = {r["doc_id"] for r in STAGES["simhash_near_dedup"](spark, stored, "").collect()}
-    assert got == {rows[i][0] for i in range(len(rows)) if root(i) == i}
+    assert got == {rows[i][0] for i, g in enumerate(group) if g == i}
 
 
 def test_dense_groups_of_similar_texts_lose_no_link(spark):
@@ -145,6 +156,19 @@ def test_dense_groups_of_similar_texts_lose_no_link(spark):
     assert got == set(group)
 
 
+def test_bitmaps_never_hide_a_similar_pair():
+    """The bound is at least what two sets share, whatever their sizes, and tells unlike sets apart."""
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 63, 64, 65, 200, 1000, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for m, common in ((n, n), (n, n * 9 // 10), (n + n // 5, n), (n * 4 // 5, n * 4 // 5), (n, 0), (2 * n, n // 2)):
+            b = np.unique(np.concatenate([a[:common], rng.integers(0, 1 << 63, m - common, np.uint64)]))
+            bound = jaccard.sharing_bound(jaccard.bitmap(a), len(a), jaccard.bitmap(b), len(b))
+            assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
+            if n >= 200 and not common:
+                assert 9 * bound < 4 * (len(a) + len(b))
+
+
 def test_stages_take_empty_tables(spark):
     nothing = frame(spark, [])
     assert all(stage(spark, nothing, "").collect() == [] for stage in STAGES.values())
