@@ -1,9 +1,11 @@
 """Quality rules as weak supervision.
 
 Every rule votes good, bad or abstains. Votes of all documents are counted by pattern in Spark; the
-pattern counts (at most ``3 ** rules``) are all that expectation-maximisation needs to estimate how
-good and bad documents vote, without labels. A document's posterior probability of being good then
-replaces the demand that it pass every rule.
+pattern counts (at most ``3 ** rules``, by label) are all that expectation-maximisation needs to estimate
+how good and bad documents vote. A bounded sample of labelled documents anchors the two classes: junk
+is of several kinds, each of which breaks one or two rules, and without anchors the largest kind passes
+for a kind of good document. A document's posterior probability of being good then replaces the demand
+that it pass every rule: bad votes of a rule that also fails good documents are outvoted.
 """
 
 from __future__ import annotations
@@ -105,7 +107,8 @@ def votes(f: Column) -> dict[str, Column]:
 
 RULES = ("symbols", "capitals", "marks", "wordless", "repeats", "lines", "word_length", "length")
 PATTERNS = 3 ** len(RULES)
-FALSE_ALARM = 0.002    # the largest share of good documents that one rule may vote against
+FALSE_ALARM = 0.002    # without labels: the largest share of good documents that one rule may vote against
+ANCHORS = 20_000       # labelled documents, at most, that anchor the classes
 
 
 def pattern_of(f: Column) -> Column:
@@ -122,21 +125,28 @@ def pattern_votes() -> np.ndarray:
     return np.stack([p // 3 ** (len(RULES) - 1 - k) % 3 for k in range(len(RULES))], axis=1)
 
 
-def fit_votes(counts: np.ndarray, steps: int = 200, tolerance: float = 1e-10) -> np.ndarray:
+def fit_votes(counts: np.ndarray, anchors: np.ndarray | None = None, steps: int = 200, tolerance: float = 1e-10) -> np.ndarray:
     """Posterior probability of good for every vote pattern, by expectation-maximisation.
 
-    ``counts``: documents per pattern, over the whole corpus. Kinds of junk differ, and each breaks a
-    rule or two while the others call it good; so that none of them is taken for a kind of good
-    document, a rule's bad votes may fall on at most ``FALSE_ALARM`` of the good ones, for which its
-    bounds are set. One pseudo-document a cell keeps rates inside (0, 1).
+    ``counts``: documents per pattern, over the whole corpus. The classes are good and one kind of junk for each
+    rule, which begins as the junk that this rule finds; all rates are then estimated, from votes that were cast. ``anchors``: ``(2, patterns)``,
+    how the labelled bad and good documents voted: good ones are of the good class, bad ones of any of the
+    others. Together they weigh as much in the rates as all other documents; the classes' shares come from the
+    corpus alone. One pseudo-document a cell keeps rates inside (0, 1). Without documents of both labels, a
+    rule's bad votes may fall on at most ``FALSE_ALARM`` of the good ones, an assumption in the place of evidence.
     """
-    cast = pattern_votes()
-    rates = np.stack([np.tile([0.30, 0.15, 0.55], (len(RULES), 1)), np.tile([0.02, 0.08, 0.90], (len(RULES), 1))])
-    prior = np.array([0.2, 0.8])
-    total = counts.sum()
+    cast, total, kinds = pattern_votes(), counts.sum(), len(RULES)
+    rates = np.tile([0.1, 1.0, 0.9], (kinds + 1, kinds, 1))   # an abstention tells nothing
+    rates[np.arange(kinds), np.arange(kinds)] = [0.95, 1.0, 0.05]
+    rates[kinds] = [0.02, 1.0, 0.98]
+    prior = np.r_[np.full(kinds, 0.2 / kinds), 0.8]
+    anchored = anchors is not None and bool((anchors.sum(axis=1) > 0).all())
+    bad, good = anchors * (total / anchors.sum()) if anchored else np.zeros((2, len(counts)))
+    if anchored:
+        rates[kinds] = vote_rates(good[None], cast)[0]
     before = -np.inf
     for _ in range(steps):
-        logs = np.log(prior)[:, None] + np.log(rates)[:, np.arange(len(RULES)), cast].sum(axis=2)
+        logs = np.log(prior)[:, None] + np.log(rates)[:, np.arange(kinds), cast].sum(axis=2)
         top = logs.max(axis=0)
         shares = np.exp(logs - top)
         evidence = shares.sum(axis=0)
@@ -146,38 +156,58 @@ def fit_votes(counts: np.ndarray, steps: int = 200, tolerance: float = 1e-10) ->
             break
         before = likelihood
         mass = posterior * counts
-        prior = (mass.sum(axis=1) + 1) / (total + 2)
-        for vote in range(3):
-            rates[:, :, vote] = (mass @ (cast == vote)) + 1
-        rates /= rates.sum(axis=2, keepdims=True)
-        hold_alarms(rates)
-    return posterior[1]
+        prior = (mass.sum(axis=1) + 1) / (total + kinds + 1)
+        junk = np.exp(logs[:kinds] - logs[:kinds].max(axis=0))
+        mass[:kinds] += junk / junk.sum(axis=0) * bad
+        mass[kinds] += good
+        rates = vote_rates(mass, cast)
+        if not anchored:
+            hold_alarms(rates)
+    return posterior[kinds]
+
+
+def vote_rates(mass: np.ndarray, cast: np.ndarray) -> np.ndarray:
+    """``(classes, rules, 3)``: how each class votes where it votes, from its mass per pattern; 1 for abstentions."""
+    bad, good = (mass @ (cast == vote) + 1 for vote in (0, 2))
+    return np.stack([bad / (bad + good), np.ones_like(bad), good / (bad + good)], axis=2)
 
 
 def hold_alarms(rates: np.ndarray) -> None:
-    """Limit the good class's bad-vote rates and scale its other votes to sum to one with them."""
-    alarms = np.minimum(rates[1, :, 0], FALSE_ALARM)
-    rates[1, :, 1:] *= ((1 - alarms) / rates[1, :, 1:].sum(axis=1))[:, None]
-    rates[1, :, 0] = alarms
+    """Limit the good class's bad-vote rates."""
+    rates[-1, :, 0] = np.minimum(rates[-1, :, 0], FALSE_ALARM)
+    rates[-1, :, 2] = 1 - rates[-1, :, 0]
+
+
+def labelled_sample(labels: DataFrame, size: int = ANCHORS) -> DataFrame:
+    """``_labelled, _good`` of at most ``size`` documents, drawn by a hash of their id; one bad label makes a document bad."""
+    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("_labelled")).agg(F.min("quality").alias("_good"))
+    return F.broadcast(known.orderBy(F.xxhash64("_labelled"), "_labelled").limit(size))
 
 
-def pattern_counts(patterns: DataFrame) -> np.ndarray:
-    """Documents per pattern; at most ``PATTERNS`` rows reach the driver."""
-    counts = np.zeros(PATTERNS)
-    for row in patterns.groupBy("pattern").count().toLocalIterator():
-        counts[row["pattern"]] = row["count"]
-    return counts
+def fit_patterns(patterns: DataFrame, labels: DataFrame | None) -> np.ndarray:
+    """The posterior by pattern, from rows of ``_id, pattern``; at most ``3 * PATTERNS`` counts reach the driver."""
+    good = F.lit(None).cast("int").alias("_good")
+    if labels is not None:
+        patterns, good = patterns.join(labelled_sample(labels), F.col("_id") == F.col("_labelled"), "left"), F.col("_good").cast("int").alias("_good")
+    counts, anchors = np.zeros(PATTERNS), np.zeros((2, PATTERNS))
+    for row in patterns.groupBy("pattern", good).count().toLocalIterator():
+        counts[row["pattern"]] += row["count"]
+        if row["_good"] is not None:
+            anchors[row["_good"], row["pattern"]] += row["count"]
+    return fit_votes(counts, anchors)
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+                  least: float = 0.5) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``kept`` and ``posterior`` for every row.
 
-    Null and empty texts have no words and fail the base rules. Repeated rows are judged alike. An
-    empty table gives no rows. Other columns are not read.
+    ``labels`` (doc_id, quality 0 or 1): of them at most ``ANCHORS`` documents anchor the estimate; other values
+    and null ids are left out. Null and empty texts have no words and fail the base rules. Repeated rows are
+    judged alike. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_features(F.col(f"`{text_col}`")).alias("f"))
     rows = durable_checkpoint(rows.withColumn("pattern", pattern_of(F.col("f"))))
-    lookup = posterior_table(rows, fit_votes(pattern_counts(rows)))
+    lookup = posterior_table(rows, fit_patterns(rows.select(F.col("doc_id").alias("_id"), "pattern"), labels))
     return rows.join(lookup, "pattern").select(
         "doc_id", *[F.col(f"f.{c}").alias(c) for c in COUNTS[:5]], base_failed(F.col("f")).alias("base_failed"),
         (~base_failed(F.col("f")) & (F.col("posterior") >= least)).alias("kept"), "posterior")
@@ -188,14 +218,14 @@ def posterior_table(df: DataFrame, posterior: np.ndarray) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(list(enumerate(posterior.tolist())), "pattern int, posterior double"))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+              least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; labels and odd rows as in ``judge_quality``.
 
     Texts are counted once for the vote statistics and once for the decision, which needs no shuffle.
     """
-    f, pattern, posterior = free_names(docs, "_features", "_pattern", "_posterior")
-    counted = docs.withColumn(f, text_features(F.col(f"`{text_col}`")))
-    lookup = posterior_table(docs, fit_votes(pattern_counts(counted.select(pattern_of(F.col(f)).alias("pattern")))))
-    lookup = lookup.select(F.col("pattern").alias(pattern), F.col("posterior").alias(posterior))
-    judged = counted.withColumn(pattern, pattern_of(F.col(f))).join(F.broadcast(lookup), pattern)
-    return judged.filter(~base_failed(F.col(f)) & (F.col(posterior) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    f = text_features(F.col(f"`{text_col}`"))
+    posterior = fit_patterns(docs.select(F.col(f"`{id_col}`").alias("_id"), pattern_of(f).alias("pattern")), labels)
+    # the verdict of every pattern as one letter of a string, so that one filter sees the text's counts once
+    verdicts = F.lit("".join("y" if p >= least else "n" for p in posterior))
+    return docs.filter(~base_failed(f) & (F.substring(verdicts, pattern_of(f) + 1, F.lit(1)) == "y"))

@@ -350,33 +350,59 @@ def test_quality_counts(docs, stored):
 
 
 @needs_data
-def test_votes_by_documents_give_the_same_posterior(stored):
-    """EM over every document, not over pattern counts."""
-    got = quality.judge_quality(stored)
+def test_votes_by_documents_give_the_same_posterior(spark, stored):
+    """EM over every document, not over pattern counts, with the labelled ones as anchors."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality.judge_quality(stored, labels)
     features = stored.select("doc_id", quality.text_features(F.col("text")).alias("f"))
     cast = {r["doc_id"]: [r[n] for n in quality.RULES] for r in features.select("doc_id", *[v.alias(n) for n, v in quality.votes(F.col("f")).items()]).collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in cast}
+    assert set(known.values()) == {0, 1}
     ids = sorted(cast)
     v = np.array([cast[i] for i in ids])
-    rates = {0: np.tile([.30, .15, .55], (8, 1)), 1: np.tile([.02, .08, .90], (8, 1))}
-    prior = {0: .2, 1: .8}
+    weight = len(ids) / len(known)
+    bad, good = (np.array([known.get(i) == c for i in ids]) * weight for c in (0, 1))
+
+    def rates_of(mass):
+        out = np.array([[(mass * (v[:, k] == x)).sum() + 1 for x in (-1, 1)] for k in range(8)])
+        out /= out.sum(axis=1, keepdims=True)
+        return np.column_stack([out[:, 0], np.ones(8), out[:, 1]])
+    rates = [np.array([[.95, 1, .05] if k == c else [.1, 1, .9] for k in range(8)]) for c in range(8)] + [rates_of(good)]
+    prior = [.2 / 8] * 8 + [.8]
     for _ in range(300):
-        p = np.stack([prior[c] * np.prod([rates[c][k][v[:, k] + 1] for k in range(8)], axis=0) for c in (0, 1)])
-        post = p / p.sum(axis=0)
-        prior = {c: (post[c].sum() + 1) / (len(ids) + 2) for c in (0, 1)}
-        for c in (0, 1):
-            rates[c] = np.array([[(post[c] * (v[:, k] == x)).sum() + 1 for x in (-1, 0, 1)] for k in range(8)])
-            rates[c] /= rates[c].sum(axis=1, keepdims=True)
-        for k in range(8):
-            held = min(rates[1][k, 0], 0.002)
-            rates[1][k] = [held, *(rates[1][k, 1:] * (1 - held) / rates[1][k, 1:].sum())]
+        p = np.array([prior[c] * np.prod([rates[c][k][v[:, k] + 1] for k in range(8)], axis=0) for c in range(9)])
+        post, junk = p / p.sum(axis=0), p[:8] / p[:8].sum(axis=0)
+        prior = [(post[c].sum() + 1) / (len(ids) + 9) for c in range(9)]
+        rates = [rates_of(post[c] + junk[c] * bad) for c in range(8)] + [rates_of(post[8] + good)]
+    post = {1: post[8]}
     have = {r["doc_id"]: r["posterior"] for r in got.collect()}
     assert max(abs(have[i] - post[1][n]) for n, i in enumerate(ids)) < 1e-4
 
 
+def test_a_bad_vote_of_a_poor_rule_is_outvoted(spark):
+    """Good texts of this corpus shout; junk repeats symbols. All-must-pass drops the one, the estimate keeps it."""
+    ready(spark)
+    prose = [" ".join(f"word{i}n{k} about matter{i * k % 97}" for k in range(14)) for i in range(400)]
+    shouting = [p.upper() for p in prose[:120]]
+    junk = [" ".join(f"#w{i}x{k} $" for k in range(20)) for i in range(150)]
+    texts = prose[120:] + shouting + junk
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    good = {i: int(i < 400) for i in range(len(texts))}
+    labels = spark.createDataFrame([(i, q) for i, q in good.items() if i % 5 == 0], "doc_id bigint, quality int")
+    votes = quality.votes(quality.text_features(F.col("text")))
+    bad = {r["doc_id"]: r["n"] for r in docs.select("doc_id", sum((F.when(x == -1, 1).otherwise(0) for x in votes.values()), F.lit(0)).alias("n")).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs, labels).collect()}
+    assert all(bad[i] == 1 and kept[i] for i in range(280, 400)) and all(bad[i] == 0 and kept[i] for i in range(280))
+    assert all(bad[i] >= 1 and not kept[i] for i in range(400, 550))
+    assert {r["doc_id"] for r in quality.keep_good(docs, labels).collect()} == {i for i, k in kept.items() if k}
+    unlabelled = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs).collect()}
+    assert not any(unlabelled[i] for i in range(280, 550)) and all(unlabelled[i] for i in range(280))
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="test tables not present")
 def test_quality_keeps_clean_documents_and_drops_junk(spark):
     sf = "/root/testdata/sf0.1"
-    got = quality.judge_quality(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    got = registry.op8_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     seen = {(r["quality"], r["kept"]): r["count"] for r in got.filter("not base_failed or quality = 0").filter("n_words >= 10").groupBy("quality", "kept").count().collect()}
     assert seen.get((1, False), 0) <= 0.005 * seen[1, True]
     assert seen.get((0, True), 0) <= 0.05 * seen[0, False]

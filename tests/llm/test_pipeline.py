@@ -178,7 +178,7 @@ def test_stages_take_empty_tables(spark):
 def test_whole_pipeline(spark, tmp_path):
     ready(spark)
     stored = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r["doc_id"] for r in quality.judge_quality(stored).filter("kept").collect()}
+    kept = {r["doc_id"] for r in quality.judge_quality(stored, spark.read.parquet(f"{SF}/labels.parquet")).filter("kept").collect()}
     rows = [r for r in plain(stored) if r[0] in kept]
     want = brute_encode_stage(brute_mix_stage(brute_near_stage(brute_exact_stage(rows))))
     assert rows_of(corpus_pipeline.run(spark, SF)) == want
