@@ -10,15 +10,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numeric import clip, finite, flag, present
+from ..models import boosting
 from ..session import durable_checkpoint
 from .aggregates import feature_medians, impute_median, tail
 from .hourgrid import HOUR, regrid, resample_end
@@ -145,50 +145,9 @@ def eval_classifier(df: DataFrame, label: str, prob: str, threshold: float) -> D
 
 
 # --- training ---------------------------------------------------------------------------
-@dataclass
-class Trees:
-    """Boosted trees as flat arrays: what an executor needs to predict one row."""
-
-    weights: np.ndarray
-    roots: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-    def predict(self, x: np.ndarray) -> float:
-        total = 0.0
-        for weight, node in zip(self.weights, self.roots):
-            while self.feature[node] >= 0:
-                go_left = x[self.feature[node]] <= self.threshold[node]
-                node = self.left[node] if go_left else self.right[node]
-            total += weight * self.value[node]
-        return float(total)
-
-
-def flatten_trees(model) -> Trees:
-    """Splits and leaves of a fitted boosted model (at most rounds x 2^depth nodes)."""
-    feature, threshold, left, right, value, roots = [], [], [], [], [], []
-
-    def add(node) -> int:
-        at = len(feature)
-        for column, blank in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1),
-                              (value, float(node.prediction()))):
-            column.append(blank)
-        if node.subtreeDepth() > 0:
-            feature[at], threshold[at] = int(node.split().featureIndex()), float(node.split().threshold())
-            left[at], right[at] = add(node.leftChild()), add(node.rightChild())
-        return at
-    for tree in model.trees:
-        roots.append(add(tree._call_java("rootNode")))
-    return Trees(np.array(model.treeWeights), np.array(roots), np.array(feature), np.array(threshold),
-                 np.array(left), np.array(right), np.array(value))
-
-
 @dataclass
 class DeltaModel:
-    model: object
+    model: boosting.Boosted
     features: list[str]
     medians: DataFrame
     keys: list[str]
@@ -221,14 +180,16 @@ def top_features(importances: Sequence[float], features: Sequence[str], n: int)
 
 
 def fit_delta(frame: DataFrame, features: Sequence[str], keys: Sequence[str],
-              counts: Sequence[int] = tuple(K.FEATURE_COUNTS), rounds: int = 2000, rate: float = 0.02,
+              counts: Sequence[int] = tuple(K.FEATURE_COUNTS), rounds: int = 2000, rate: float = 0.02, patience: int = 100,
               rank_depth: int = 4, depth: int = 3, weight: Column | None = None,
-              min_rows: int = K.MIN_TRAINING_ROWS, seed: int = 42, rank_share: float = 0.7, share: float = 0.8) -> DeltaModel:
+              min_rows: int = K.MIN_TRAINING_ROWS, seed: int = 42, rank_share: float = 0.7, share: float = 0.8,
+              l1: float = 1.0, l2: float = 10.0, least: float = 8.0, sample: float = 0.8) -> DeltaModel:
     """Rank features with a wide model, refit on each top-N, keep the best validation MAE.
 
-    Splits are chronological per key and medians come from training rows only.  Boosting
-    stops early on the validation rows. ``rank_share`` and ``share``: features each tree may use, in
-    the ranking and in the final model.
+    Splits are chronological per key and medians come from training rows only. A model keeps the trees up to
+    its least validation error and stops after ``patience`` rounds without a lower one. All feature counts are
+    fitted in the same passes. ``rank_share`` and ``share``: features each tree may use, in the ranking and in
+    the final model; ``sample``: training rows each tree uses; ``least``: weight a leaf needs.
     """
     keep = list(dict.fromkeys([*keys, HOUR, "overall_site_health", "target_health_6h", TARGET, *features]))
     # the wide frame is derived once; everything below reads the materialised rows
@@ -242,45 +203,46 @@ def fit_delta(frame: DataFrame, features: Sequence[str], keys: Sequence[str],
     medians = feature_medians(train, keys, features).persist()
     rows = split.withColumn("_current", F.col("overall_site_health"))
     rows = _ready(rows, medians, keys, features).select(
-        "_x", "split", "_current", "target_health_6h", TARGET,
-        (weight if weight is not None else F.lit(1.0)).alias("_w"),
-        (F.col("split") == "validation").alias("_val")).persist()
+        vector_to_array("_x").alias("_x"), "split", "_current", "target_health_6h", TARGET,
+        (weight if weight is not None else F.lit(1.0)).alias("_w")).persist()
     try:
-        def fit(cols: Sequence[str], tree_depth: int, column_share: float):
-            part = VectorSlicer(inputCol="_x", outputCol="_s", indices=[features.index(c) for c in cols])
-            booster = GBTRegressor(featuresCol="_s", labelCol=TARGET, weightCol="_w",
-                                   validationIndicatorCol="_val", maxIter=rounds, stepSize=rate,
-                                   maxDepth=tree_depth, subsamplingRate=0.8, minInstancesPerNode=8,
-                                   featureSubsetStrategy=str(column_share), seed=seed)
-            return part, booster.fit(part.transform(rows.filter("split != 'test'")))
-
-        def score(part, model, name: str) -> dict:
-            done = model.transform(part.transform(rows.filter(F.col("split") == name)))
-            return eval_delta(done, "_current", "target_health_6h", "prediction").first().asDict()
-
-        wide = fit(features, rank_depth, rank_share)[1]
-        best, by_count = None, {}
-        for count in dict.fromkeys(min(c, len(features)) for c in counts):
-            chosen = top_features(wide.featureImportances.toArray(), features, count)
-            part, model = fit(chosen, depth, share)
-            by_count[count] = score(part, model, "validation")["mae"]
-            if best is None or by_count[count] < by_count[len(best[2])]:
-                best = (part, model, chosen)
-        test = score(best[0], best[1], "test")
+        def grow(*specs: boosting.Spec) -> list[tuple[boosting.Boosted, boosting.Report]]:
+            return boosting.fit(rows.filter("split <> 'test'"), "_x", TARGET, specs, F.col("split") == "validation", F.col("_w"))
+        common = dict(rounds=rounds, rate=rate, patience=patience, rows=sample, least=least, l1=l1, l2=l2, seed=seed)
+        sizes = list(dict.fromkeys(min(c, len(features)) for c in counts))
+        if sizes == [len(features)]:   # nothing to choose
+            chosen = {len(features): list(features)}
+        else:
+            wide = grow(boosting.Spec(range(len(features)), rank_depth, rank_share, **common))[0][0]
+            chosen = {c: top_features(wide.importance, features, c) for c in sizes}
+        fits = dict(zip(sizes, grow(*[boosting.Spec([features.index(f) for f in chosen[c]], depth, share, **common) for c in sizes]), strict=True))
+        by_count = {c: report.validation_mae[report.best_round] if report.validation_mae else float("nan") for c, (_, report) in fits.items()}
+        best = min(sizes, key=lambda c: by_count[c])
+        model = narrowed(fits[best][0], [features.index(f) for f in chosen[best]])
+        at = F.transform(F.array(*[F.lit(features.index(f)) for f in chosen[best]]), lambda i: F.get("_x", i))
+        done = rows.filter("split = 'test'").withColumn("prediction", model.column(at))
+        test = eval_delta(done, "_current", "target_health_6h", "prediction").first().asDict()
         persistence = eval_delta(rows.filter("split = 'test'"), "_current", "target_health_6h",
                                  F.lit(0.0)).first().asDict()
-        sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
-        # served models read a plain feature vector
-        best[1].setFeaturesCol("_x")
-        chosen = durable_checkpoint(medians.select(*keys, *best[2]))
-        return DeltaModel(best[1], list(best[2]), chosen, list(keys), test["residual_std"] or 1.0, {
+        n_rows = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+        served = durable_checkpoint(medians.select(*keys, *chosen[best]))
+        return DeltaModel(model, list(chosen[best]), served, list(keys), test["residual_std"] or 1.0, {
             "selected": test, "persistence": persistence, "validation_mae_by_count": by_count,
-            "mae_improvement": persistence["mae"] - test["mae"]}, sizes)
+            "trees_by_count": {c: report.best_round for c, (_, report) in fits.items()},
+            "rounds_by_count": {c: report.rounds for c, (_, report) in fits.items()},
+            "mae_improvement": persistence["mae"] - test["mae"]}, n_rows)
     finally:
         rows.unpersist()
         medians.unpersist()
 
 
+def narrowed(model: boosting.Boosted, columns: Sequence[int]) -> boosting.Boosted:
+    """The same trees over the chosen columns alone, in their order."""
+    place = {c: i for i, c in enumerate(columns)}
+    trees = [boosting.Tree([place[f] if f >= 0 else -1 for f in t.feature], t.threshold, t.left, t.right, t.value) for t in model.trees]
+    return boosting.Boosted(model.base, trees, [model.importance[c] for c in columns])
+
+
 def fit_weighted(frame: DataFrame, model: DeltaModel, weight: Column | None = None, **options) -> tuple[DeltaModel, dict]:
     """The selected features fitted again under sample weights, and both test reports side by side."""
     weighted = fit_delta(frame, model.features, model.keys, counts=(len(model.features),),
@@ -330,8 +292,8 @@ def predict_next(hourly: DataFrame, model: DeltaModel) -> DataFrame:
     frame, _ = model_frame(recent, model.keys, required_sources(model.features))
     last = tail(frame.select(*dict.fromkeys([*model.keys, HOUR, "overall_site_health", *model.features])),
                 model.keys, HOUR, 1)
-    out = model.model.transform(_ready(last, model.medians, model.keys, model.features)) \
-               .withColumnRenamed("prediction", "predicted_delta")
+    out = _ready(last, model.medians, model.keys, model.features)
+    out = out.withColumn("predicted_delta", model.model.column(vector_to_array("_x")))
     health = clip(F.col("overall_site_health") + F.col("predicted_delta"), 0.0, 100.0)
     cols = [*model.keys, HOUR, "predicted_delta", health.alias("predicted_health")]
     if model.drop_model is not None:
@@ -428,7 +390,7 @@ def forecast_recursive(hourly: DataFrame, model: DeltaModel, hours: int, step: i
     ``hours / step`` points.  Health, its trend and volatility, the calendar and the
     maintenance risks (``advance_pm``: column -> interval days) evolve; all else is held.
     """
-    keys, plan, trees = model.keys, feature_plan(model.features), flatten_trees(model.model)
+    keys, plan, trees = model.keys, feature_plan(model.features), model.model
     sigma, steps = float(model.residual_std or 1.0), max(1, -(-hours // step))
     pm = {f"{d}_pm_risk": float(days) for d, (_, days) in K.PM_DEFAULTS.items()} if advance_pm is None else dict(advance_pm)
     held = [c for c in plan_columns(plan) if c in hourly.columns]
@@ -448,7 +410,7 @@ def forecast_recursive(hourly: DataFrame, model: DeltaModel, hours: int, step: i
             x = np.array([_now(src, cols, at) if kind == "now" else _newest(kind, cols[src], n)
                           for kind, src, n in plan], dtype=float)
             x = np.where(np.isfinite(x), x, fallback)
-            delta = trees.predict(x) * damping ** (i - 1)
+            delta = float(trees.predict(x[None])[0]) * damping ** (i - 1)
             value = float(np.clip(cols[health][-1] + delta, 0.0, 100.0))
             at, band = at + pd.Timedelta(hours=step), sigma * np.sqrt(i)
             out.append((at, value, max(0.0, value - band), min(100.0, value + band)))
@@ -518,9 +480,9 @@ def forecast_points(hourly: DataFrame, trajectory: DataFrame, keys: Sequence[str
 
 # --- storage ------------------------------------------------------------------------------
 def save_model(model: DeltaModel, path: str, **stamps: str) -> None:
-    """Spark ML artefacts plus one metadata row (features, sizes, metrics, versions)."""
+    """The trees, medians and classifier plus one metadata row (features, sizes, metrics, versions)."""
     spark = model.medians.sparkSession
-    model.model.write().overwrite().save(f"{path}/regressor")
+    spark.createDataFrame([(model.model.as_json(),)], "trees string").coalesce(1).write.mode("overwrite").parquet(f"{path}/regressor")
     model.medians.write.mode("overwrite").parquet(f"{path}/medians")
     if model.drop_model is not None:
         model.drop_model.write().overwrite().save(f"{path}/classifier")
@@ -534,6 +496,7 @@ def save_model(model: DeltaModel, path: str, **stamps: str) -> None:
 def load_model(spark, path: str) -> DeltaModel:
     meta = json.loads(spark.read.parquet(f"{path}/metadata").first()["meta"])
     drop = RandomForestClassificationModel.load(f"{path}/classifier") if meta["has_classifier"] else None
-    return DeltaModel(GBTRegressionModel.load(f"{path}/regressor"), meta["features"],
+    trees = spark.read.parquet(f"{path}/regressor").first()["trees"]
+    return DeltaModel(boosting.Boosted.from_json(trees), meta["features"],
                       spark.read.parquet(f"{path}/medians"), meta["keys"], meta["residual_std"], meta["metrics"],
                       meta["n_rows"], drop, meta["drop_threshold"])

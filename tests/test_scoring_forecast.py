@@ -69,7 +69,8 @@ def test_short_history_is_refused(hourly):
 def test_train_predict_unroll_and_storage(spark, hourly, tmp_path):
     sources = ["overall_site_health"]
     frame, names = FC.model_frame(hourly, KEY, sources)
-    model = FC.fit_delta(frame, names, KEY, counts=(5, 10), rounds=5)
+    model = FC.fit_delta(frame, names, KEY, counts=(5, 10), rounds=12, rate=0.1)
+    assert min(model.metrics["trees_by_count"].values()) >= 1 and set(model.metrics["rounds_by_count"].values()) == {12}
     by = model.metrics["validation_mae_by_count"]
     assert by[len(model.features)] == min(by.values()) and model.residual_std > 0
     assert sum(model.n_rows.values()) >= 200
