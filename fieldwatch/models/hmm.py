@@ -1,11 +1,12 @@
 """Gaussian hidden-state model over reading sequences, fitted and decoded by Spark (M1-M5).
 
-A sequence may be arbitrarily long, so it is never handed to one task.  It is cut into
-chunks of at most ``CHUNK`` rows, and both recursions are split at chunk borders: each chunk
-is reduced to one K x K operator (in parallel), the operators of a sequence are chained
-(one small row per chunk), and each chunk then runs its own rows between the vectors known
-at its borders (in parallel again).  The result is exactly that of one long recursion.
-One pass serves all candidate models (state counts and seeds) at once.
+A sequence may be arbitrarily long, so it is never handed to one task.  It is cut into chunks of at
+most ``CHUNK`` rows, and both recursions are split at chunk borders: each chunk of a longer sequence is
+reduced to one K x K operator per model; operators are multiplied in groups of ``FAN``, level by level,
+up a tree; borders come back down it; and each chunk then runs its own rows between the vectors known
+at its ends.  The result is exactly that of one long recursion.  Sequences of one chunk skip the tree.
+One row per chunk carries all candidate models (state counts and seeds), and the numpy steps of a task
+run over many chunks at once.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +23,18 @@ from .. import constants as K
 from ..operators.aggregates import state_stats
 from ..operators.windows import chrono_split
 from ..session import durable_checkpoint
+from . import recursions as R
 
 CHUNK = 512
+FAN = 512             # operators that one task multiplies
+CENTRE_ROUNDS, CENTRE_SAMPLE = 10, 4096   # passes that place the first centres, and rows they are drawn from
 MIN_COVAR, COVAR_PRIOR = 1e-3, 1e-2  # fixed values of the usual Gaussian estimator
 
 
+class NotSettled(RuntimeError):
+    """No candidate met the tolerance, or none was stable enough to be chosen."""
+
+
 @dataclass
 class Params:
     start: np.ndarray   # K
@@ -86,157 +92,163 @@ def chunk_table(seqs: DataFrame, keys: Sequence[str], cols: Sequence[str],
                           F.flatten(F.transform("_r", lambda r: r["x"])).alias("x"))
 
 
-# --- recursions on one chunk -------------------------------------------------------------
-def _matrix(x, d: int) -> np.ndarray:
-    return np.asarray(x, dtype=float).reshape(-1, d)
-
-
-def _forward_operator(p: Params, x: np.ndarray, first: bool) -> tuple[np.ndarray, float]:
-    """Scaled product of (transition x emission) over the chunk, and its log scale."""
-    logb = p.log_emission(x)
-    top = logb.max(1)
-    b, scale, op = np.exp(logb - top[:, None]), float(top.sum()), np.eye(p.k)
-    for t in range(len(x)):
-        step = np.tile(p.start, (p.k, 1)) if first and t == 0 else op @ p.trans
-        op = step * b[t]
-        total = op.max()
-        if total <= 0:  # nothing explains the row: fall back to the floor probability
-            op, total = np.full((p.k, p.k), 1.0), 1e-300
-        else:
-            op = op / total
-        scale += np.log(total)
-    return op, scale
-
-
-def _statistics(p: Params, x: np.ndarray, first: bool, alpha_in: np.ndarray,
-                beta_out: np.ndarray) -> np.ndarray:
-    """Expected counts of a chunk: start K, transitions K*K, weight K, sums K*D, squares K*D."""
-    logb = p.log_emission(x)
-    b = np.exp(logb - logb.max(1, keepdims=True))
-    n, k = b.shape
-    alpha, beta = np.empty((n, k)), np.empty((n, k))
-    before = alpha_in
-    for t in range(n):
-        a = (p.start if first and t == 0 else before @ p.trans) * b[t]
-        total = a.sum()
-        before = alpha[t] = a / total if total > 0 else np.full(k, 1.0 / k)
-    after = beta_out
-    for t in range(n - 1, -1, -1):
-        beta[t] = after
-        after = p.trans @ (b[t] * after)
-        after = after / max(after.sum(), 1e-300)
-    gamma = alpha * beta
-    gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-300)
-    previous = np.vstack([alpha_in[None], alpha[:-1]])
-    xi = previous[:, :, None] * p.trans[None] * (b * beta)[:, None, :]
-    if first:
-        xi = xi[1:]
-    xi /= np.maximum(xi.sum((1, 2), keepdims=True), 1e-300)
-    return np.concatenate([gamma[0] if first else np.zeros(k), xi.sum(0).ravel(), gamma.sum(0),
-                           (gamma.T @ x).ravel(), (gamma.T @ (x * x)).ravel()])
-
-
-def _best_operator(p: Params, x: np.ndarray, first: bool) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        la, ls = np.log(p.trans), np.log(p.start)
-    logb, op = p.log_emission(x), np.where(np.eye(p.k) > 0, 0.0, -np.inf)
-    for t in range(len(x)):
-        step = np.tile(ls, (p.k, 1)) if first and t == 0 else (op[:, :, None] + la[None]).max(1)
-        op = step + logb[t]
-    return op
-
-
-def _best_path(p: Params, x: np.ndarray, first: bool, state_in: int, state_out: int) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        la, ls = np.log(p.trans), np.log(p.start)
-    logb = p.log_emission(x)
-    n, back = len(x), np.zeros((len(x), p.k), dtype=int)
-    score = (ls if first else la[state_in]) + logb[0]
-    for t in range(1, n):
-        through = score[:, None] + la
-        back[t] = through.argmax(0)
-        score = through.max(0) + logb[t]
-    path = np.empty(n, dtype=int)
-    path[-1] = state_out
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
 # --- distributed passes -------------------------------------------------------------------
 def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
     types = dict(df.dtypes)
     return ", ".join(f"`{c}` {types[c]}" for c in [*keys, "sequence_id"])
 
 
-def _operators(chunks: DataFrame, keys: Sequence[str], models: Mapping[int, Params], d: int,
-               best: bool = False) -> DataFrame:
+def _long_chunks(chunks: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """Chunks of sequences that have several, and the largest chunk number."""
     ids = [*keys, "sequence_id"]
+    last = durable_checkpoint(chunks.filter("chunk > 0").groupBy(*ids).agg(F.max("chunk").alias("_last")))
+    most = last.agg(F.max("_last")).first()[0] or 0
+    several = chunks.join(last.select(*ids), ids, "left_semi")
+    return (durable_checkpoint(several) if most else several), most
+
+
+def _offsets(models: Mapping[int, Params], size) -> dict[int, slice]:
+    ends = np.cumsum([size(p.k) for p in models.values()])
+    return {m: slice(e - size(p.k), e) for (m, p), e in zip(models.items(), ends.tolist(), strict=True)}
+
+
+def _operators(chunks: DataFrame, keys: Sequence[str], models: Mapping[int, Params], d: int, best: bool) -> DataFrame:
+    """``ids, chunk, ops``: the operators of all models, one after another."""
+    ids, squares = [*keys, "sequence_id"], _offsets(models, lambda k: k * k)
+    width, make = sum(p.k ** 2 for p in models.values()), R.best_operators if best else R.forward_operators
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                x, first = _matrix(row.x, d), row.chunk == 0
+            ops, first = np.zeros((len(pdf), width)), (pdf["chunk"] == 0).to_numpy()
+            for at, n, rows in R.stacks(pdf["x"].tolist(), d):
                 for m, p in models.items():
-                    op, scale = (_best_operator(p, x, first), 0.0) if best else _forward_operator(p, x, first)
-                    out.append((*[getattr(row, c) for c in ids], row.chunk, m, op.ravel().tolist(), scale))
-            yield pd.DataFrame(out, columns=[*ids, "chunk", "model", "op", "scale"])
-    return chunks.select(*ids, "chunk", "x").mapInPandas(
-        run, f"{_key_schema(chunks, keys)}, chunk bigint, model int, op array<double>, scale double")
+                    ops[at, squares[m]] = make(p, n, rows, first[at]).reshape(len(at), -1)
+            yield pdf[[*ids, "chunk"]].assign(ops=list(ops))
+    return chunks.select(*ids, "chunk", "x").mapInPandas(run, f"{_key_schema(chunks, keys)}, chunk bigint, ops array<double>")
+
 
+def _product(a: np.ndarray, b: np.ndarray, best: bool) -> np.ndarray:
+    return (a[:, :, None] + b[None]).max(1) if best else R.scaled((a @ b)[None])[0]
 
-def _borders(operators: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Chain a sequence's chunk operators: what each chunk must know at its two ends."""
-    ids = [*keys, "sequence_id", "model"]
+
+def _grouped(ops: DataFrame, keys: Sequence[str], models: Mapping[int, Params], best: bool, fan: int) -> DataFrame:
+    """The products of every ``fan`` neighbours: the next level of the tree."""
+    ids, squares = [*keys, "sequence_id"], _offsets(models, lambda k: k * k)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        k = int(round(len(pdf["op"].iloc[0]) ** 0.5))
-        ops = [np.asarray(o).reshape(k, k) for o in pdf["op"]]
-        alpha, alphas, loglik = np.eye(k)[0], [], 0.0
-        for op, scale in zip(ops, pdf["scale"]):
-            alphas.append(alpha.tolist())
-            alpha = alpha @ op
-            total = max(alpha.sum(), 1e-300)
-            alpha, loglik = alpha / total, loglik + np.log(total) + scale
-        beta, betas = np.full(k, 1.0), []
-        for op in reversed(ops):
-            betas.append(beta.tolist())
-            beta = op @ beta
-            beta = beta / max(beta.sum(), 1e-300)
-        out = pdf[[*ids, "chunk"]].copy()
-        out["alpha"], out["beta"] = alphas, betas[::-1]
-        out["loglik"] = [loglik] + [0.0] * (len(pdf) - 1)
-        return out
-    return operators.groupBy(*ids).applyInPandas(
-        run, f"{_key_schema(operators, keys)}, model int, chunk bigint, alpha array<double>, "
-             "beta array<double>, loglik double")
-
-
-def _expectations(chunks: DataFrame, keys: Sequence[str], models: Mapping[int, Params], d: int) -> dict:
-    """One E-step for all models: summed statistics (a few hundred numbers per model)."""
+        flat, out = np.stack(pdf["ops"].tolist()), []
+        for m, p in models.items():
+            own = flat[:, squares[m]].reshape(-1, p.k, p.k)
+            total = own[0]
+            for op in own[1:]:
+                total = _product(total, op, best)
+            out.append(total.ravel())
+        return pdf[[*ids, "up"]].head(1).rename(columns={"up": "chunk"}).assign(ops=[np.concatenate(out)])
+    return ops.withColumn("up", F.floor(F.col("chunk") / fan)).groupBy(*ids, "up").applyInPandas(
+        run, f"{_key_schema(ops, keys)}, chunk bigint, ops array<double>")
+
+
+def _borders(ops: DataFrame, keys: Sequence[str], models: Mapping[int, Params], most: int, best: bool, fan: int = FAN) -> DataFrame:
+    """``ids, chunk, head, tail``: what each chunk must know at its two ends, for all models.
+
+    Forward-backward: the vector before it and the one after it. Best path: the state before it and its last state.
+    """
+    ids, states, squares = [*keys, "sequence_id"], _offsets(models, lambda k: k), _offsets(models, lambda k: k * k)
+    one = _offsets(models, lambda k: 1)
+    levels = [ops]
+    while most >= fan:
+        most //= fan
+        levels.append(durable_checkpoint(_grouped(levels[-1], keys, models, best, fan)))
+
+    def inner(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        flat, n = np.stack(pdf["ops"].tolist()), len(pdf)
+        given = "head" in pdf
+        size = len(models) if best else sum(p.k for p in models.values())
+        heads, tails = np.zeros((n, size)), np.zeros((n, size))
+        for m, p in models.items():
+            own, at = flat[:, squares[m]].reshape(-1, p.k, p.k), one[m] if best else states[m]
+            head = pdf["head"].iloc[0][at] if given else None
+            tail = pdf["tail"].iloc[0][at] if given else None
+            heads[:, at], tails[:, at] = (_best_between if best else _vectors_between)(own, head, tail)
+        return pdf[[*ids, "chunk"]].assign(head=list(heads), tail=list(tails))
+    schema = f"{_key_schema(ops, keys)}, chunk bigint, head array<double>, tail array<double>"
+    known = levels.pop().groupBy(*ids).applyInPandas(inner, schema)
+    while levels:
+        known = durable_checkpoint(known.withColumnRenamed("chunk", "up"))
+        known = levels.pop().withColumn("up", F.floor(F.col("chunk") / fan)).join(known, [*ids, "up"]).groupBy(
+            *ids, "up").applyInPandas(inner, schema)
+    return known
+
+
+def _vectors_between(ops: np.ndarray, head: np.ndarray | None, tail: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    n, k = len(ops), ops.shape[1]
+    heads, tails = np.empty((n, k)), np.empty((n, k))
+    state = np.eye(k)[0] if head is None else np.asarray(head, float)   # the first operator starts from ``start`` whatever is before
+    for i, op in enumerate(ops):
+        heads[i] = state
+        state = state @ op
+        state = state / max(state.sum(), 1e-300)
+    state = np.ones(k) if tail is None else np.asarray(tail, float)
+    for i in range(n - 1, -1, -1):
+        tails[i] = state
+        state = ops[i] @ state
+        state = state / max(state.sum(), 1e-300)
+    return heads, tails
+
+
+def _best_between(ops: np.ndarray, head: np.ndarray | None, tail: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The path of border states from a known one to a known (or the best) one."""
+    n, k = len(ops), ops.shape[1]
+    score, before = np.where(np.arange(k) == (0 if head is None else int(head[0])), 0.0, -np.inf), []
+    for op in ops:
+        before.append(score)
+        score = (score[:, None] + op).max(0)
+    state = int(score.argmax()) if tail is None else int(tail[0])
+    heads, tails = np.empty((n, 1)), np.empty((n, 1))
+    for i in range(n - 1, -1, -1):
+        tails[i] = state
+        state = int((before[i] + ops[i][:, state]).argmax())
+        heads[i] = state
+    return heads, tails
+
+
+def _with_borders(chunks: DataFrame, keys: Sequence[str], models: Mapping[int, Params], d: int, best: bool, fan: int,
+                  long: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Chunks with ``head`` and ``tail``; null where the sequence is the chunk."""
     ids = [*keys, "sequence_id", "chunk"]
-    borders = _borders(_operators(chunks, keys, models, d), keys)
+    several, most = long or _long_chunks(chunks, keys)
+    if not most:
+        blank = F.lit(None).cast("array<double>")
+        return chunks.withColumns({"head": blank, "tail": blank})
+    ops = durable_checkpoint(_operators(several, keys, models, d, best))
+    return chunks.join(_borders(ops, keys, models, most, best, fan), ids, "left")
+
+
+def _expectations(chunks: DataFrame, keys: Sequence[str], models: Mapping[int, Params], d: int, fan: int = FAN,
+                  long: tuple[DataFrame, int] | None = None) -> dict:
+    """One E-step for all models: summed statistics (a few hundred numbers per model)."""
+    states = _offsets(models, lambda k: k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                stats = _statistics(models[row.model], _matrix(row.x, d), row.chunk == 0,
-                                    np.asarray(row.alpha), np.asarray(row.beta))
-                stats = np.append(stats, row.loglik)
-                sums[row.model] = sums[row.model] + stats if row.model in sums else stats
-        out = [(m, i, v) for m, s in sums.items() for i, v in enumerate(s)]
-        yield pd.DataFrame(out, columns=["model", "i", "v"])
-    joined = chunks.join(borders, ids).select("model", "chunk", "x", "alpha", "beta", "loglik")
-    rows = joined.mapInPandas(run, "model int, i int, v double").groupBy("model", "i").agg(
-        F.sum("v").alias("v")).collect()
-    out: dict[int, np.ndarray] = {}
-    for m in models:
-        part = sorted((r["i"], r["v"]) for r in rows if r["model"] == m)
-        out[m] = np.array([v for _, v in part])
-    return out
+            first, head, tail = (pdf["chunk"] == 0).to_numpy(), pdf["head"].tolist(), pdf["tail"].tolist()
+            for at, n, rows in R.stacks(pdf["x"].tolist(), d):
+                for m, p in models.items():
+                    ends = [np.stack([blank if side[i] is None else side[i][states[m]] for i in at])
+                            for side, blank in ((head, np.ones(p.k)), (tail, np.ones(p.k)))]
+                    stats = R.statistics(p, n, rows, first[at], *ends)
+                    sums[m] = sums[m] + stats if m in sums else stats
+        yield pd.DataFrame([(m, i, v) for m, s in sums.items() for i, v in enumerate(s)], columns=["model", "i", "v"])
+    bordered = _with_borders(chunks, keys, models, d, False, fan, long).select("chunk", "x", "head", "tail")
+    rows = bordered.mapInPandas(run, "model int, i int, v double").groupBy("model", "i").agg(F.sum("v").alias("v")).collect()
+    found: dict[int, dict[int, float]] = {m: {} for m in models}
+    for r in rows:
+        found[r["model"]][r["i"]] = r["v"]
+    sizes = {m: p.k + p.k ** 2 + p.k + 2 * p.k * d + 1 for m, p in models.items()}
+    return {m: np.array([found[m].get(i, 0.0) for i in range(sizes[m])]) for m in models}
 
 
 def _maximise(stats: np.ndarray, k: int, d: int) -> tuple[Params, float]:
@@ -252,30 +264,77 @@ def _maximise(stats: np.ndarray, k: int, d: int) -> tuple[Params, float]:
     return Params(start, trans, mean, np.maximum(var, MIN_COVAR * 1e-3)), float(rest[0])
 
 
-def _initial(rows: DataFrame, cols: Sequence[str], k: int, seed: int, var: np.ndarray) -> Params:
-    vectors = rows.select(array_to_vector(F.array(*[F.col(c).cast("double") for c in cols])).alias("features"))
-    centers = np.array(KMeans(k=k, seed=seed, maxIter=10).fit(vectors).clusterCenters())
-    if len(centers) < k:  # fewer distinct points than states
-        centers = np.vstack([centers, centers[:1].repeat(k - len(centers), 0) + 1e-3])
-    return Params(np.full(k, 1.0 / k), np.full((k, k), 1.0 / k), centers, np.tile(var + MIN_COVAR, (k, 1)))
+def expected_counts(seqs: DataFrame, keys: Sequence[str], cols: Sequence[str], params: Params) -> dict[str, np.ndarray]:
+    """What one EM step adds up over scaled ``seqs``: start, trans, weight, sums, squares, and the log-likelihood."""
+    k, d = params.k, len(cols)
+    chunks = durable_checkpoint(chunk_table(seqs, keys, cols))
+    flat = _expectations(chunks, keys, {0: params}, d)[0]
+    start, trans, weight, sums, squares, rest = np.split(flat, np.cumsum([k, k * k, k, k * d, k * d]))
+    return {"start": start, "trans": trans.reshape(k, k), "weight": weight, "sums": sums.reshape(k, d),
+            "squares": squares.reshape(k, d), "log_likelihood": rest[0]}
+
+
+def spread_out(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` rows of the sample, each drawn by its squared distance from those before."""
+    draw = np.random.default_rng(seed)
+    chosen = [sample[draw.integers(len(sample))]]
+    far = ((sample - chosen[0]) ** 2).sum(1)
+    while len(chosen) < k:
+        total = far.sum()
+        at = draw.choice(len(sample), p=far / total) if total > 0 else draw.integers(len(sample))
+        chosen.append(sample[at] + (0.0 if total > 0 else 1e-3 * len(chosen)))   # fewer distinct rows than states
+        far = np.minimum(far, ((sample - chosen[-1]) ** 2).sum(1))
+    return np.array(chosen)
+
+
+def _centres(chunks: DataFrame, seqs: DataFrame, cols: Sequence[str], pairs: Mapping[int, tuple[int, int]],
+             rounds: int = CENTRE_ROUNDS, size: int = CENTRE_SAMPLE) -> dict[int, np.ndarray]:
+    """Cluster centres for every ``(k, seed)``: drawn from at most ``size`` rows, then moved by passes over all rows."""
+    d = len(cols)
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    sample = np.array([r["x"] for r in seqs.select(x.alias("x")).orderBy(F.xxhash64("x"), "x").limit(size).collect()])
+    centres = {m: spread_out(sample, k, seed) for m, (k, seed) in pairs.items()}
+
+    def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {m: np.zeros((len(c), d + 1)) for m, c in centres.items()}
+        for pdf in batches:
+            for flat in pdf["x"]:
+                rows = np.asarray(flat, float).reshape(-1, d)
+                for m, c in centres.items():
+                    near = ((c * c).sum(1) - 2 * rows @ c.T).argmin(1)
+                    np.add.at(sums[m], near, np.column_stack([rows, np.ones(len(rows))]))
+        yield pd.DataFrame([(m, i, v) for m, s in sums.items() for i, v in enumerate(s.ravel())], columns=["model", "i", "v"])
+    for _ in range(rounds):
+        found = chunks.select("x").mapInPandas(moved, "model int, i int, v double").groupBy("model", "i").agg(F.sum("v").alias("v")).collect()
+        totals = {m: np.zeros(c.size + len(c)) for m, c in centres.items()}
+        for r in found:
+            totals[r["model"]][r["i"]] = r["v"]
+        for m, c in centres.items():
+            t = totals[m].reshape(len(c), d + 1)
+            centres[m] = np.where(t[:, -1:] > 0, t[:, :-1] / np.maximum(t[:, -1:], 1.0), c)
+    return centres
 
 
 def fit_candidates(seqs: DataFrame, keys: Sequence[str], cols: Sequence[str], ks: Sequence[int],
                    seeds: Sequence[int], iters: int, tol: float) -> dict[tuple[int, int], tuple[Params, float, bool]]:
     """EM for every ``(k, seed)``: parameters, their likelihood, and whether the gain fell below ``tol``.
 
-    ``seqs`` hold scaled features, ids and positions.
+    ``seqs`` hold scaled features, ids and positions. Without rows this is ``NotSettled``.
     """
     chunks = durable_checkpoint(chunk_table(seqs, keys, cols))
     d = len(cols)
-    spread = seqs.agg(*[F.var_pop(c) for c in cols]).first()
-    var = np.array([v or 0.0 for v in spread])
+    spread = seqs.agg(*[F.var_pop(c) for c in cols], F.count(F.lit(1)).alias("_n")).first()
+    if not spread["_n"]:
+        raise NotSettled("no complete rows to train on")
+    var = np.array([v or 0.0 for v in spread[:d]])
     names = {i: pair for i, pair in enumerate((k, s) for k in ks for s in seeds)}
-    live = {i: _initial(seqs, cols, k, s, var) for i, (k, s) in names.items()}
+    live = {m: Params(np.full(len(c), 1.0 / len(c)), np.full((len(c), len(c)), 1.0 / len(c)), c, np.tile(var + MIN_COVAR, (len(c), 1)))
+            for m, c in _centres(chunks, seqs, cols, names).items()}
+    long = _long_chunks(chunks, keys)
     done: dict[int, tuple[Params, float, bool]] = {}
     last: dict[int, float] = {}
     for it in range(iters + 1):   # the last pass only scores the parameters of the last step
-        stats = _expectations(chunks, keys, live, d)
+        stats = _expectations(chunks, keys, live, d, long=long)
         for m in list(live):
             params, loglik = _maximise(stats[m], live[m].k, d)   # the likelihood is that of live[m]
             settled = m in last and loglik - last[m] < tol
@@ -293,46 +352,29 @@ def fit_hmm(seqs: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int,
             seeds: Sequence[int] = tuple(K.HMM_SEEDS), iters: int = K.HMM_ITERATIONS,
             tol: float = K.HMM_TOLERANCE) -> tuple[Params, float]:
     fits = fit_candidates(seqs, keys, cols, [k], seeds, iters, tol)
-    good = [(loglik, -s, p) for (_, s), (p, loglik, _) in fits.items() if np.isfinite(loglik)]
+    good = [(loglik, -s, p) for (_, s), (p, loglik, settled) in fits.items() if settled and np.isfinite(loglik)]
     if not good:
-        raise RuntimeError(f"no converged model with {k} states")
+        raise NotSettled(f"no model with {k} states settled within {iters} steps")
     best = max(good, key=lambda g: g[:2])
     return best[2], best[0]
 
 
-def decode(seqs: DataFrame, keys: Sequence[str], cols: Sequence[str], models: Mapping[int, Params]) -> DataFrame:
+def decode(seqs: DataFrame, keys: Sequence[str], cols: Sequence[str], models: Mapping[int, Params], fan: int = FAN) -> DataFrame:
     """Most likely state per row and model: keys, sequence_id, sequence_position, model, state."""
-    ids, d = [*keys, "sequence_id"], len(cols)
-    chunks = chunk_table(seqs, keys, cols)
-    ops = _operators(chunks, keys, models, d, best=True)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        k = int(round(len(pdf["op"].iloc[0]) ** 0.5))
-        ops = [np.asarray(o).reshape(k, k) for o in pdf["op"]]
-        score, heads = np.where(np.arange(k) == 0, 0.0, -np.inf), []
-        for op in ops:
-            heads.append(score)
-            score = (score[:, None] + op).max(0)
-        state, ends = int(score.argmax()), []
-        for head, op in zip(reversed(heads), reversed(ops)):
-            before = int((head + op[:, state]).argmax())
-            ends.append((before, state))
-            state = before
-        out = pdf[[*ids, "model", "chunk"]].copy()
-        out["state_in"], out["state_out"] = zip(*ends[::-1])
-        return out
-    borders = ops.groupBy(*ids, "model").applyInPandas(
-        chain, f"{_key_schema(chunks, keys)}, model int, chunk bigint, state_in int, state_out int")
+    ids, d, one = [*keys, "sequence_id"], len(cols), _offsets(models, lambda k: 1)
+    chunks = durable_checkpoint(chunk_table(seqs, keys, cols))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.copy()
-            pdf["states"] = [_best_path(models[r.model], _matrix(r.x, d), r.chunk == 0, r.state_in, r.state_out).tolist()
-                             for r in pdf.itertuples(index=False)]
-            yield pdf[[*ids, "model", "first_row", "states"]]
-    paths = chunks.join(borders, [*ids, "chunk"]).select(
-        *ids, "model", "chunk", "first_row", "x", "state_in", "state_out").mapInPandas(
+            first, head, tail = (pdf["chunk"] == 0).to_numpy(), pdf["head"].tolist(), pdf["tail"].tolist()
+            for m, p in models.items():
+                states: list = [None] * len(pdf)
+                for at, n, rows in R.stacks(pdf["x"].tolist(), d):
+                    ends = [np.array([blank if side[i] is None else int(side[i][one[m]][0]) for i in at]) for side, blank in ((head, 0), (tail, -1))]
+                    for i, path in zip(at, R.best_paths(p, n, rows, first[at], *ends), strict=True):
+                        states[i] = path
+                yield pdf[[*ids, "first_row"]].assign(model=m, states=states)[[*ids, "model", "first_row", "states"]]
+    paths = _with_borders(chunks, keys, models, d, True, fan).select(*ids, "chunk", "first_row", "x", "head", "tail").mapInPandas(
         run, f"{_key_schema(chunks, keys)}, model int, first_row bigint, states array<int>")
     return paths.select(*ids, "model", "first_row", F.posexplode("states").alias("_p", "state")).select(
         *ids, (F.col("first_row") + F.col("_p")).alias("sequence_position"), "model", "state")
@@ -382,6 +424,8 @@ def select_hmm(seqs: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str
                    default=None, key=lambda g: g[:2])
         if best is not None:
             models[k] = best[2]
+    if not models:
+        raise NotSettled(f"no candidate settled within {iters} steps")
     row_id = [*keys, "sequence_id", "sequence_position"]
     raw = parts.select(*row_id, "split", label, *[F.col(c).alias(f"_raw_{c}") for c in bounds])
 
@@ -400,7 +444,7 @@ def select_hmm(seqs: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str
         F.col("f1").desc(), "model", "cutoff")
     best = ranking.first()
     if best is None:
-        raise RuntimeError("no stable configuration")
+        raise NotSettled("no stable configuration")
     final_scaler = fit_scaler(of("train", "validation"), cols)
     params, loglik = fit_hmm(apply_scaler(of("train", "validation"), cols, final_scaler), keys, cols,
                              best["model"], seeds, iters, tol)
