@@ -42,20 +42,53 @@ def whole_viterbi(p, x):
 PARAMS = hmm.Params(np.array([0.6, 0.4]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.0, 0.0], [4.0, -3.0]]), np.full((2, 2), 0.5))
 
 
+def whole_expectations(p, sequences):
+    """Forward-backward of whole sequences, one row at a time, in the plain definition."""
+    out = 0
+    for x in sequences:
+        b, n = np.exp(p.log_emission(x)), len(x)
+        alpha, beta = np.zeros((n, p.k)), np.ones((n, p.k))
+        alpha[0] = p.start * b[0]
+        for t in range(1, n):
+            alpha[t] = alpha[t - 1] @ p.trans * b[t]
+        for t in range(n - 2, -1, -1):
+            beta[t] = p.trans @ (b[t + 1] * beta[t + 1])
+        z = alpha[-1].sum()
+        gamma = alpha * beta / z
+        xi = sum(np.outer(alpha[t], b[t + 1] * beta[t + 1]) * p.trans for t in range(n - 1)) / z
+        out = out + np.concatenate([gamma[0], xi.ravel(), gamma.sum(0), (gamma.T @ x).ravel(), (gamma.T @ x ** 2).ravel(), [np.log(z)]])
+    return out
+
+
 def test_chunked_recursions_equal_whole_ones(spark, two_states, monkeypatch):
-    whole = hmm._expectations(hmm.chunk_table(two_states, KEY, ["x", "y"]), KEY, {0: PARAMS}, 2)[0]
-    cut = hmm._expectations(hmm.chunk_table(two_states, KEY, ["x", "y"], chunk=16), KEY, {0: PARAMS}, 2)[0]
-    assert cut == pytest.approx(whole, rel=1e-8, abs=1e-8)
-    monkeypatch.setattr(hmm, "chunk_table", functools.partial(hmm.chunk_table, chunk=16))
-    got = hmm.decode(two_states, KEY, ["x", "y"], {0: PARAMS}).toPandas().sort_values(["sequence_id", "sequence_position"])
-    pdf = two_states.toPandas()
-    for s, part in pdf.groupby("sequence_id"):
-        part = part.sort_values("sequence_position")
-        assert got[got.sequence_id == s]["state"].tolist() == whole_viterbi(PARAMS, part[["x", "y"]].to_numpy())
+    three = hmm.Params(np.array([0.2, 0.5, 0.3]), np.array([[0.8, 0.1, 0.1], [0.1, 0.7, 0.2], [0.3, 0.3, 0.4]]),
+                       np.array([[0.0, 0.0], [4.0, -3.0], [2.0, -1.0]]), np.full((3, 2), 0.9))
+    models, pdf = {0: PARAMS, 5: three}, two_states.toPandas().sort_values(["sequence_id", "sequence_position"])
+    parts = {s: part[["x", "y"]].to_numpy() for s, part in pdf.groupby("sequence_id")}
+    short = [x[:60] for x in parts.values()]     # short enough not to underflow in the plain definition
+    few = two_states.filter("sequence_position < 60")
+    for chunk, fan in ((512, 512), (16, 512), (7, 2), (1, 3)):
+        got = hmm._expectations(hmm.chunk_table(few, KEY, ["x", "y"], chunk=chunk), KEY, models, 2, fan)
+        for m, p in models.items():
+            assert got[m] == pytest.approx(whole_expectations(p, short), rel=1e-8, abs=1e-8)
+    cut = functools.partial(hmm.chunk_table, chunk=16)
+    monkeypatch.setattr(hmm, "chunk_table", cut)
+    for fan in (512, 3):
+        got = hmm.decode(two_states, KEY, ["x", "y"], models, fan).toPandas().sort_values(["sequence_id", "sequence_position"])
+        for m, p in models.items():
+            for s, x in parts.items():
+                assert got[(got.sequence_id == s) & (got.model == m)]["state"].tolist() == whole_viterbi(p, x)
+
+
+def test_unsettled_models_are_never_chosen(spark, two_states):
+    with pytest.raises(hmm.NotSettled):
+        hmm.fit_hmm(two_states, KEY, ["x", "y"], 2, seeds=[0], iters=1)
+    with pytest.raises(hmm.NotSettled):
+        hmm.fit_hmm(two_states.limit(0), KEY, ["x", "y"], 2, seeds=[0])
 
 
 def test_fit_recovers_known_states(spark, two_states):
-    params, loglik = hmm.fit_hmm(two_states, KEY, ["x", "y"], 2, seeds=[0], iters=8, tol=1e-3)
+    params, loglik = hmm.fit_hmm(two_states, KEY, ["x", "y"], 2, seeds=[0, 7], iters=60, tol=1e-3)
     assert sorted(np.round(params.mean[:, 0])) == [0.0, 4.0] and np.isfinite(loglik)
     states = hmm.decode(two_states, KEY, ["x", "y"], {0: params}).join(two_states, [*KEY, "sequence_id", "sequence_position"])
     agree = states.agg(F.avg((F.col("state") == F.col("truth")).cast("int"))).first()[0]
@@ -103,11 +136,18 @@ def test_detection_stream_predicts_only_on_full_features(spark, tmp_path):
     full = W.state_features(G.add_segments(df, KEY, "ts"), KEY, "ts").na.drop(subset=K.STATE_FEATURES).toPandas()
     assert sorted(pd.to_datetime(got["ts"])) == sorted(full["ts"])
     assert got["history_size"].max() == 100
-    # the newest reading's features equal the batch ones
-    rows = pdf.iloc[60:160]
-    x = ST.latest_features(rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), rows["temperature"].to_numpy(), rows["humidity"].to_numpy(), 125)
-    want = full[full.ts == rows["ts"].iloc[-1]][K.STATE_FEATURES].to_numpy()[0]
-    assert x[-1] == pytest.approx(want, abs=1e-8)
+    # the newest reading's features equal the batch ones, and its state is that of the best path over its buffer
+    us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+    x = ST.window_features(us, pdf["temperature"].to_numpy(), pdf["humidity"].to_numpy(), np.arange(220), 100, 125)
+    state = got.set_index("ts")["state"]
+    for i in (38, 60, 100, 159, 198, 199, 219):
+        if ts[i] in state.index:
+            assert x[i, -1] == pytest.approx(full[full.ts == ts[i]][K.STATE_FEATURES].to_numpy()[0], abs=1e-8)
+            # the buffer's own rows, and nothing before them
+            alone = df.orderBy("ts").limit(i + 1).orderBy(F.col("ts").desc()).limit(100)
+            rows = W.state_features(G.add_segments(alone, KEY, "ts"), KEY, "ts").na.drop(subset=K.STATE_FEATURES).orderBy("ts").toPandas()[K.STATE_FEATURES]
+            assert x[i][np.isfinite(x[i]).all(1)] == pytest.approx(rows.to_numpy(), abs=1e-8)
+            assert whole_viterbi(params, rows.to_numpy())[-1] == state[ts[i]]
 
 
 def test_a_late_reading_gets_no_second_prediction(spark, tmp_path):
@@ -122,6 +162,76 @@ def test_a_late_reading_gets_no_second_prediction(spark, tmp_path):
     assert got["ts"].is_unique and pd.Timestamp(ts[90]) not in set(got["ts"])
 
 
+def brute_episodes(pdf, enter, exit, max_gap, min_exit=5):
+    closed, is_open, last = [], False, None
+    for r in pdf.sort_values("ts").itertuples():
+        if is_open and (np.isnan(r.temperature) or (r.ts - last).total_seconds() > max_gap):
+            closed.append(rows)
+            is_open = False
+        last = r.ts
+        if np.isnan(r.temperature):
+            continue
+        if not is_open and r.temperature >= enter:
+            is_open, rows, left = True, [], 0
+        if is_open:
+            rows.append(r)
+            left = left + 1 if r.temperature <= exit else 0
+            if left >= min_exit:
+                closed.append(rows)
+                is_open = False
+    return sorted((r[0].site_id, r[0].ts, r[-1].ts, max(x.temperature for x in r), len(r)) for r in closed)
+
+
+def series(site, n, seed):
+    rng = np.random.default_rng(seed)
+    ts = pd.date_range("2026-01-01", periods=n, freq="2min") + pd.to_timedelta(np.where(np.arange(n) >= n // 2, 3600, 0), unit="s")
+    temperature = np.where((np.arange(n) // 15) % 3 == 1, 30.0, 20.0) + rng.normal(0, 1, n)
+    temperature[n // 3] = np.nan
+    return pd.DataFrame({"site_id": site, "ts": ts, "temperature": temperature})
+
+
+def shuffled_feed(spark, tmp_path, batches):
+    import os
+    folder = tmp_path / f"in-{uuid.uuid4().hex}"
+    for k, piece in enumerate(batches):
+        at = folder / f"{k}.parquet"
+        folder.mkdir(exist_ok=True)
+        piece.astype({"ts": "datetime64[us]"}).to_parquet(at, index=False)
+        os.utime(at, (1_700_000_000 + 60 * k,) * 2)   # files come in this order
+    schema = "site_id string, ts timestamp, temperature double"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_readings_late_within_the_delay_change_no_episode(spark, tmp_path):
+    """Five micro-batches, shuffled, overlapping in time; one series ends early and is released by a timer."""
+    a, b = series("a", 240, 1), series("b", 90, 2)
+    pdf = pd.concat([a, b]).reset_index(drop=True)
+    rng = np.random.default_rng(3)
+    arrives = (pdf["ts"] - pdf["ts"].min()).dt.total_seconds() + rng.uniform(0, 3500, len(pdf))
+    order = np.argsort(arrives.to_numpy())
+    batches = [pdf.iloc[rng.permutation(p)] for p in np.array_split(order, 5)]
+    end = pd.DataFrame({"site_id": ["clock"], "ts": [pdf["ts"].max() + pd.Timedelta(hours=3)], "temperature": [0.0]})
+    stream = shuffled_feed(spark, tmp_path, [*batches, end])
+    got = drain(spark, tmp_path, ST.episodes_stream(stream, KEY, "ts", "temperature", 28.0, 25.0, 125.0, delay=3600.0))
+    assert ST.rejected_readings(got, KEY, "ts", "temperature").count() == 0
+    rows = sorted((r["site_id"], r["start"], r["end"], r["peak_value"], r["n_rows"]) for r in ST.closed_episodes(got).collect())
+    want = brute_episodes(a, 28.0, 25.0, 125.0) + brute_episodes(b, 28.0, 25.0, 125.0)
+    assert len(want) > 5 and [(s, pd.Timestamp(x), pd.Timestamp(y), p, n) for s, x, y, p, n in rows] == want
+
+
+def test_readings_too_late_are_counted_and_change_no_episode(spark, tmp_path):
+    a = series("a", 240, 1)
+    late, kept = a.iloc[[16, 20, 21, 50]], a.drop(index=[16, 20, 21, 50])
+    end = pd.DataFrame({"site_id": ["clock"], "ts": [a["ts"].max() + pd.Timedelta(hours=3)], "temperature": [0.0]})
+    stream = shuffled_feed(spark, tmp_path, [kept.iloc[:120], kept.iloc[120:], late, end])
+    got = drain(spark, tmp_path, ST.episodes_stream(stream, KEY, "ts", "temperature", -28.0, -25.0, 125.0, delay=600.0, direction="low"))
+    rejected = ST.rejected_readings(got, KEY, "ts", "temperature").collect()
+    assert sorted((pd.Timestamp(r["ts"]), r["temperature"]) for r in rejected) == sorted(zip(late["ts"], late["temperature"]))
+    mirrored = kept.assign(temperature=-kept["temperature"])
+    rows = sorted((r["site_id"], pd.Timestamp(r["start"]), pd.Timestamp(r["end"]), -r["peak_value"], r["n_rows"]) for r in ST.closed_episodes(got).collect())
+    assert rows == brute_episodes(mirrored, 28.0, 25.0, 125.0)
+
+
 def test_ingest_stream_is_idempotent(spark, tmp_path):
     ts = pd.date_range("2026-01-01", periods=50, freq="2min")
     pdf = pd.DataFrame({"site_id": "a", "ts": ts, "temperature": 1.0})
