@@ -13,7 +13,7 @@ from ...session import shared_folder
 from ..refresh import Config, refresh
 from .alarms_scoring import events
 from .base import BLOCK, GAP, alarms, cte, query, readings
-from .models import FIXED, FIXED_FOREST, FOREST_SQL, _decoded, _fixed_sequences, served_model
+from .models import FIXED, FIXED_FOREST, FOREST_SQL, PREDICTED, _decoded, _fixed_sequences, served_model
 from .episodes import _CHARACTER as CHARACTER
 from .segments import hysteresis_sql, segmented
 
@@ -93,7 +93,7 @@ def s16(spark, sf):
     return done.select("table_name", "n_rows")
 
 
-@query("s18_model_round_trip")
+@query("s18_model_round_trip", "newest", PREDICTED, "predicted_delta predicted_health")
 def s18(spark, sf):
     hourly, model = served_model(spark, sf)
     at = _folder(spark, "model")
