@@ -5,9 +5,9 @@ A conversation is rendered as one text, one block per turn::
     <|turn|>role<newline>text<|end|><newline>
 
 A deterministic parser (split at the end mark, then at the first newline) reads the text back. A
-turn that does not come back as it was is rendered again with its control strings escaped, and its
-mark says so (``<|turn:e|>``); this repeats, with every turn escaped, until the whole conversation
-reads back identical. Escaping puts one more backslash between ``<`` and ``|``, so it can be undone
+turn that holds one of the marks, or does not come back as it was, is rendered again with its control
+strings escaped, and its mark says so (``<|turn:e|>``); this repeats, with every turn escaped, until the
+whole conversation reads back identical. No mark in the output stems from a role or a text. Escaping puts one more backslash between ``<`` and ``|``, so it can be undone
 exactly whatever the text holds.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import or_empty
 
 TURN, TURN_ESCAPED, END = "<|turn|>", "<|turn:e|>", "<|end|>\n"
+MARKS = (TURN, TURN_ESCAPED, END.strip())
 SPLIT = r"\Q" + END + r"\E"
 
 
@@ -37,6 +38,13 @@ def render_turn(role: Column, text: Column, escaped: Column) -> Column:
         F.concat(F.lit(TURN), role, F.lit("\n"), text, F.lit(END)))
 
 
+def holds_mark(text: Column) -> Column:
+    found = F.lit(False)
+    for mark in MARKS:
+        found = found | F.contains(text, F.lit(mark))
+    return found
+
+
 def parse(formatted: Column) -> Column:
     """Array of ``(role, text)`` in the order of the turns; a block without a known mark is null."""
     def block(b: Column) -> Column:
@@ -65,10 +73,10 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     """
     role, text = or_empty(role_col), or_empty(text_col)
     rows = turns.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), role.alias("role"), text.alias("text"))
-    # first attempt: a turn that does not read back alone is escaped
+    # first attempt: a turn that holds a mark or does not read back alone is escaped
     plain = render_turn(F.col("role"), F.col("text"), F.lit(False))
     want = F.array(F.struct("role", "text"))
-    rows = rows.withColumn("conflict", ~(parse(plain).eqNullSafe(want)))
+    rows = rows.withColumn("conflict", holds_mark(F.col("role")) | holds_mark(F.col("text")) | ~(parse(plain).eqNullSafe(want)))
     talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "conflict"))).alias("turns"))
 
     def rendered(everything: bool) -> Column:
@@ -105,7 +113,7 @@ WITH turns AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 parts AS (
-  SELECT *, contains(role, chr(10)) OR contains(text, '<|end|>' || chr(10)) AS conflict FROM turns)
+  SELECT *, contains(role, chr(10)) OR regexp_matches(role, '<\|(turn|turn:e|end)\|>') OR regexp_matches(text, '<\|(turn|turn:e|end)\|>') AS conflict FROM turns)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,

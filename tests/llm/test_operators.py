@@ -324,9 +324,27 @@ def test_chat_reads_back(spark):
     text = {r["conv_id"]: r["formatted"] for r in shown.collect()}
     assert text[1].startswith("<|turn|>user\nhi<|end|>\n<|turn:e|>assistant\na <\\|end|>\nb<|end|>\n")
     assert all(r["formatted_chars"] == len(text[r["conv_id"]]) for r in got.collect())
+    # every mark in the output is the template's own
+    turns = Counter(t[0] for t in TALKS)
+    for c, shown_text in text.items():
+        assert shown_text.count("<|turn|>") + shown_text.count("<|turn:e|>") == shown_text.count("<|end|>") == turns[c]
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_sql_escapes_alike(spark):
+    """The registered SQL on conversations that hold marks of every kind."""
+    rows = [t for t in TALKS if t[0] is not None and t[1] is not None]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    cursor = con.execute(chat.ORACLE)
+    names = [d[0] for d in cursor.description]
+    got = chat.conversation_digests(chat.format_conversations(df))
+    want = sorted([tuple(r[names.index(c)] for c in got.columns) for r in cursor.fetchall() if r[names.index("conv_id")] >= 0], key=key)
+    assert rows_of(got) == want
+
+
 # --- 8 --------------------------------------------------------------------------------------
 def brute_counts(text):
     w = split_words(text)
