@@ -68,16 +68,20 @@ def block_lists(prints: DataFrame, blocks: int = BLOCKS, distance: int = DISTANC
     return listed.join(shared, "key")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """``node, root`` for every node of ``a, b`` links; the root is the component's smallest node.
 
     Alternates large-star and small-star steps, each a join with one smallest neighbour per node, until
     nothing changes: rounds grow with the logarithm of the longest chain. Neighbour lists are never
-    gathered. Each round is written to the checkpoint folder.
+    gathered. Each round is written to the checkpoint folder. ``rows_per_task``: tasks that a round begins with
+    take that many links, where partitions hold few.
     """
+    def dealt(edges: DataFrame, n: int) -> DataFrame:
+        return edges if rows_per_task is None else edges.coalesce(max(1, -(-n // rows_per_task)))
     edges = durable_checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                                .filter("u <> v").distinct())
     state = _state(edges)
+    edges = dealt(edges, state[0])
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -87,6 +91,7 @@ def components(links: DataFrame) -> DataFrame:
                  .union(least.select("u", F.col("m").alias("v"))).distinct())
         edges = durable_checkpoint(edges)
         before, state = state, _state(edges)
+        edges = dealt(edges, state[0])
         if state == before:
             break
     roots = edges.select(F.col("v").alias("node")).distinct()
