@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...models import iforest, store
@@ -73,13 +75,27 @@ def s19(spark, sf):
     return lake(spark, sf)[1].select("table_name", "n_rows")
 
 
-@query("s15_export_gold", "scored", """
-SELECT CAST(site_id AS VARCHAR) AS site_id, timestamp + (TIMESTAMP '2026-05-10 10:00:00' - max(timestamp) OVER (PARTITION BY site_id)) AS timestamp
-FROM scored""")
+cte("shift", "scored", """
+SELECT CAST(site_id AS VARCHAR) AS site, TIMESTAMP '2026-05-10 10:00:00' - max(timestamp) AS d,
+       (epoch(TIMESTAMP '2026-05-10 10:00:00') - epoch(max(timestamp))) / 86400 AS days FROM scored GROUP BY site_id""")
+
+
+# every exported table: what names a row, its shifted time, and a measure
+@query("s15_export_gold", "shift scored snapshot points lake_episodes readings", """
+SELECT 'hourly' AS table_name, site AS site_id, '' AS item, timestamp + d AS timestamp, overall_site_health AS value FROM scored JOIN shift ON site = CAST(site_id AS VARCHAR)
+UNION ALL SELECT 'snapshot', site, coalesce(family, 'global') || ' ' || status || ' ' || trend, timestamp + d, score FROM snapshot JOIN shift ON site = CAST(site_id AS VARCHAR)
+UNION ALL SELECT 'forecast_points', site, horizon || ' ' || CASE WHEN is_forecast THEN 'ahead' ELSE 'past' END, timestamp + d, value FROM points JOIN shift ON site = CAST(site_id AS VARCHAR)
+UNION ALL SELECT 'episodes', site, direction || ' ' || severity, start + d, round_even(peak_value * 100, 0) / 100 FROM lake_episodes JOIN shift ON site = CAST(site_id AS VARCHAR)
+UNION ALL SELECT 'gold_meta', site, '', least(max(ts) + any_value(d), TIMESTAMP '2026-05-10 10:20:00'), round(any_value(days), 3) FROM readings JOIN shift ON site = CAST(site_id AS VARCHAR) GROUP BY site""", "value")
 def s15(spark, sf):
     out = _folder(spark, "export")
     L.export_gold(spark, lake(spark, sf)[0], out, shift_to="2026-05-10 10:20:00")
-    return L.read_gold(spark, out, "hourly").select("site_id", "timestamp")
+    shown = {"hourly": ("''", "timestamp", "overall_site_health"), "snapshot": ("concat_ws(' ', coalesce(family, 'global'), status, trend)", "timestamp", "score"),
+             "forecast_points": ("concat_ws(' ', horizon, if(is_forecast, 'ahead', 'past'))", "timestamp", "value"),
+             "episodes": ("concat_ws(' ', direction, severity)", "start", "peak_value"), "gold_meta": ("''", "last_ts", "shift_days")}
+    tables = [L.read_gold(spark, out, name).selectExpr(f"'{name}' AS table_name", "site_id", f"{item} AS item", f"{at} AS timestamp", f"{value} AS value")
+              for name, (item, at, value) in shown.items()]
+    return reduce(DataFrame.unionByName, tables)
 
 
 @query("s16_import_gold", "scored last_hour points lake_episodes", """
