@@ -254,8 +254,9 @@ def fit_weighted(frame: DataFrame, model: DeltaModel, weight: Column | None = No
 def fit_drop(frame: DataFrame, model: DeltaModel, trees: int = 500, depth: int = 8, seed: int = 42):
     """Major-drop classifier on the selected features with a validation-chosen threshold.
 
-    Returns ``(classifier, threshold, test metrics)`` or ``(None, None, reason)`` when the
-    training rows hold a single class.
+    Returns ``(classifier, threshold, test metrics)``. Training rows of a single class teach nothing: the classifier is then
+    ``None``, every row has the chance 0 or 1 that the class says, and the metrics carry a ``status``. Where the
+    validation rows tell no thresholds apart, as where there are none, it is the smallest.
     """
     keep = list(dict.fromkeys([*model.keys, HOUR, "major_drop_6h", *model.features]))
     rows = frame.select(*dict.fromkeys([*keep, *K.REQUIRED_FEATURES])).na.drop(
@@ -266,18 +267,24 @@ def fit_drop(frame: DataFrame, model: DeltaModel, trees: int = 500, depth: int =
     try:
         train = ready.filter("split = 'train'")
         by_class = {r["_y"]: r["count"] for r in train.groupBy("_y").count().collect()}
+        fitted = None
         if len(by_class) < 2:
-            return None, None, {"status": "not trained: a single class in the history"}
-        total = sum(by_class.values())
-        balance = F.when(F.col("_y") == 1, total / (2.0 * by_class[1.0])).otherwise(total / (2.0 * by_class[0.0]))
-        forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_b", numTrees=trees, maxDepth=depth,
-                                        minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=seed)
-        fitted = forest.fit(train.withColumn("_b", balance))
-        chance = fitted.transform(ready).withColumn("_p", vector_to_array("probability")[1])
+            chance = ready.withColumn("_p", F.lit(1.0 if 1.0 in by_class else 0.0))
+        else:
+            total = sum(by_class.values())
+            balance = F.when(F.col("_y") == 1, total / (2.0 * by_class[1.0])).otherwise(total / (2.0 * by_class[0.0]))
+            forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_b", numTrees=trees, maxDepth=depth,
+                                            minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=seed)
+            fitted = forest.fit(train.withColumn("_b", balance))
+            chance = fitted.transform(ready).withColumn("_p", vector_to_array("probability")[1])
         best = threshold_metrics(chance.filter("split = 'validation'"), "_y", "_p", K.DROP_THRESHOLDS).orderBy(
             F.col("f1").desc(), F.col("recall").desc(), "threshold").first()
-        test = eval_classifier(chance.filter("split = 'test'"), "_y", "_p", best["threshold"]).first()
-        return fitted, best["threshold"], test.asDict() if test else {}
+        threshold = best["threshold"] if best else min(K.DROP_THRESHOLDS)
+        test = eval_classifier(chance.filter("split = 'test'"), "_y", "_p", threshold).first()
+        report = test.asDict() if test else {}
+        if fitted is None:
+            report["status"] = "not trained: a single class in the history"
+        return fitted, threshold, report
     finally:
         ready.unpersist()
 

@@ -87,3 +87,24 @@ def test_train_predict_unroll_and_storage(spark, hourly, tmp_path):
     again = FC.load_model(spark, str(tmp_path / "m"))
     assert again.features == model.features
     assert FC.predict_next(hourly, again).first()["predicted_health"] == pytest.approx(one["predicted_health"])
+
+
+def _drop_frame(spark, drops):
+    """100 hours of one site; hours in ``drops`` precede a major drop."""
+    from fieldwatch import constants as K
+    rows = spark.range(100).select(F.lit(1).alias("site_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id)").alias("timestamp"),
+                                   F.col("id").isin(*drops).cast("int").alias("major_drop_6h"), (F.col("id") % 7).cast("double").alias("x"))
+    return rows.withColumns({c: F.lit(1.0) for c in K.REQUIRED_FEATURES if c not in rows.columns})
+
+
+def test_drop_classifier_on_a_history_of_one_class(spark):
+    """Drops after the training hours only: no forest, but a threshold of the candidates and the test's own counts."""
+    from fieldwatch import constants as K
+    from fieldwatch.operators import forecasting as FC
+    medians = spark.createDataFrame([(1, 3.0)], "site_id int, x double")
+    model = FC.DeltaModel(FC.boosting.Boosted(0.0, [], [0.0]), ["x"], medians, ["site_id"], 1.0)
+    fitted, threshold, report = FC.fit_drop(_drop_frame(spark, [80, 90, 95]), model, trees=3)
+    assert fitted is None and threshold == min(K.DROP_THRESHOLDS) and report["status"].startswith("not trained")
+    assert (report["actual_events"], report["predicted_alerts"], report["f1"]) == (2, 0, 0.0)
+    fitted, threshold, report = FC.fit_drop(_drop_frame(spark, [3, 20, 33, 41, 50, 66]), model, trees=3)
+    assert fitted is not None and threshold in K.DROP_THRESHOLDS and report["actual_events"] == 0
