@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldwatch.llm import bpe, exact_dedup, jaccard, mixing, quality
+from fieldwatch.llm import bpe, exact_dedup, mixing, quality, simhash
 from fieldwatch.llm.common import ready, table
 from fieldwatch.session import shared_folder
 
@@ -28,9 +28,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by five-word shingles alike to 4/5 or more, the one of the smallest id stays."""
+    """Of documents that hang together by fingerprints of 4 or fewer differing bits, the one of the smallest id stays."""
     ready(spark)
-    return jaccard.drop_similar(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

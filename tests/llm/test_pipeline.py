@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fieldwatch.llm import jaccard, quality
+from fieldwatch.llm import jaccard, quality, simhash
 from fieldwatch.llm.common import ready
 
 from .cases import documents, frame
@@ -54,8 +54,24 @@ def brute_groups(texts):
     return [root(i) for i in range(len(texts))]
 
 
+def brute_print_groups(texts, distance=4):
+    """The smallest place reachable from each over fingerprints of ``distance`` or fewer differing bits."""
+    prints, top = [brute_fingerprint(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+    for b, y in enumerate(prints):
+        for a, x in enumerate(prints[:b]):
+            if (x ^ y).bit_count() <= distance:
+                low, high = sorted((root(a), root(b)))
+                top[high] = low
+    return [root(i) for i in range(len(texts))]
+
+
 def brute_near_stage(rows):
-    group, first = brute_groups([r[1] for r in rows]), {}
+    group, first = brute_print_groups([r[1] for r in rows]), {}
     for r, g in zip(rows, group):
         if r[0] is not None:
             first[g] = min(first.get(g, r[0]), r[0])
@@ -120,7 +136,19 @@ def test_stages_on_odd_rows(spark):
 
 
 @needs_data
-def test_near_stage_links_every_similar_pair(spark):
+def test_near_stage_is_the_fingerprint_join(spark):
+    """Brute force over the fingerprints of sf0.01: the stage drops what op1's components name, and nothing else."""
+    ready(spark)
+    stored = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in stored.collect())
+    group = brute_print_groups([t for _, t in rows])
+    got = {r["doc_id"] for r in STAGES["simhash_near_dedup"](spark, stored, "").collect()}
+    assert got == {rows[i][0] for i, g in enumerate(group) if g == i}
+    assert got == {r["doc_id"] for r in simhash.near_duplicates(stored).filter("doc_id = component_id").collect()}
+
+
+@needs_data
+def test_similar_rows_links_every_similar_pair(spark):
     """Brute force over five-word shingles of sf0.01; four bits of SimHash miss most of these pairs."""
     ready(spark)
     stored = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
@@ -129,7 +157,7 @@ def test_near_stage_links_every_similar_pair(spark):
     group = brute_groups([t for _, t in rows])
     prints = [brute_fingerprint(t) for _, t in rows]
     assert any(g != i and (prints[g] ^ prints[i]).bit_count() > 4 for i, g in enumerate(group))
-    got = {r["doc_id"] for r in STAGES["simhash_near_dedup"](spark, stored, "").collect()}
+    got = {r["doc_id"] for r in jaccard.drop_similar(stored).collect()}
     assert got == {rows[i][0] for i, g in enumerate(group) if g == i}
 
 
@@ -152,7 +180,7 @@ def test_dense_groups_of_similar_texts_lose_no_link(spark):
             if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
                 old, new = max(group[a], group[b]), min(group[a], group[b])
                 group = [new if g == old else g for g in group]
-    got = {r["doc_id"] for r in STAGES["simhash_near_dedup"](ready(spark), frame(spark, rows, False), "").collect()}
+    got = {r["doc_id"] for r in jaccard.drop_similar(frame(ready(spark), rows, False)).collect()}
     assert got == set(group)
 
 
