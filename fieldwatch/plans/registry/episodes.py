@@ -12,7 +12,7 @@ from ...operators import hourgrid as H
 from ...operators import quantiles as Q
 from ...operators import segments as G
 from ...session import durable_checkpoint
-from .base import BLOCK, GAP, KEYS, alarms, cte, query, readings, table
+from .base import EXIT_REACH, GAP, KEYS, alarms, block, cte, query, readings, table
 from .segments import hysteresis_sql, segmented, with_bounds
 
 NAMES = ["mild_lower", "mild_upper", "extreme_lower", "extreme_upper"]
@@ -36,7 +36,7 @@ FROM (SELECT *, hi >= mu AND (lo > ml OR hi - mu >= ml - lo) AS high
 def e1(spark, sf):
     bounds = Q.tukey(readings(spark, sf), KEYS, "temperature").select(*KEYS, *NAMES)
     rows = segmented(spark, sf).withColumn("hot", F.col("temperature") >= 60)
-    runs = G.add_runs(rows, KEYS, "ts", "hot", block_seconds=BLOCK).filter("hot").join(bounds, KEYS)
+    runs = G.add_runs(rows, KEYS, "ts", "hot", block_seconds=block(spark, sf)).filter("hot").join(bounds, KEYS)
     return E.characterise_runs(runs, ["site_id", "run_id"], "ts", "temperature", {n: n for n in NAMES})
 
 
@@ -72,7 +72,7 @@ def episodes(spark, sf):
     return E.threshold_episodes(
         rows, KEYS, "ts", "temperature", Q.tukey(r, KEYS, "temperature"),
         H.observation_bounds(r, KEYS, "ts"), F.concat(F.lit("U"), F.col("site_id")),
-        max_gap=GAP, block_seconds=BLOCK)
+        max_gap=GAP, block_seconds=block(spark, sf, EXIT_REACH))
 
 
 @query("e4_threshold_episodes", "episodes", "SELECT * FROM episodes", "duration_min peak_value")

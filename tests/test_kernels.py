@@ -225,3 +225,23 @@ def test_window_stats_anchor_on_data(spark):
     assert (now["total"], now["top_family"], now["dimension_environment"]) == (2, "cooling", 2)
     later = E.window_stats(eps, 24, ref(end + pd.Timedelta(days=60)), None, KEY).first()
     assert (later["total"], later["top_family"]) == (0, None)
+
+
+def test_dense_readings_take_narrower_blocks(spark):
+    """A block holds a bounded number of rows however dense a series is; sparse ones keep the width; results stay."""
+    from fieldwatch.operators.timeblocks import Width, fitting_width
+    at = "timestamp_ntz'1969-12-31 00:00:00' + make_dt_interval(0, 0, 0, CAST(id % 4000 * 43.2 AS DECIMAL(18, 6)))"   # two days
+    dense = spark.range(8000).select((F.col("id") >= 4000).cast("int").alias("site_id"), F.expr(at).alias("ts"))
+    dense = dense.union(spark.createDataFrame([(0, None)], dense.schema))
+    day = 86_400.0
+    assert fitting_width(dense, ["site_id"], "ts", 4 * day, rows=2_000) == 4 * day
+    assert fitting_width(dense, ["site_id"], "ts", 4 * day, rows=1_999) == day / 2
+    assert fitting_width(dense, ["site_id"], "ts", 4 * day, rows=500) == day / 4
+    assert fitting_width(dense, ["site_id"], "ts", 4 * day, least=day / 2, rows=500) == day / 2
+    assert fitting_width(dense, ["site_id"], "ts", 4 * day, rows=0) == 4 * day / 4096
+    assert [fitting_width(dense, ["site_id"], "ts", 4 * day, rows=n).tasks for n in (2_000, 500)] == [0, 33]
+    assert fitting_width(dense.limit(0), ["site_id"], "ts", 4 * day) == 4 * day
+    rows = dense.filter("ts IS NOT NULL").withColumn("t", F.pmod(F.xxhash64("site_id", "ts"), 100).cast("double"))
+    got = [{tuple(r) for r in G.hysteresis(G.add_segments(rows, ["site_id"], "ts", 60.0, w), ["site_id"], "ts", "t", 70.0, 60.0, max_gap=60.0, block_seconds=w)
+            .select("site_id", "ts", "segment_position", "episode_id").collect()} for w in (4 * day, Width(4 * day / 64, 5))]
+    assert got[0] == got[1] and len(got[0]) == 8000
