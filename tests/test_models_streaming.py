@@ -86,9 +86,9 @@ def test_models_of_one_state_count_step_together(spark, two_states):
     models = {m: hmm.Params(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.2, 0.8]]), rng.normal(size=(2, 2)), np.full((2, 2), 0.7)) for m in range(10)}
     names, together = hmm._alike({**models, 10: hmm.Params(np.ones(1), np.ones((1, 1)), np.zeros((1, 2)), np.ones((1, 2)))})[0]
     assert names == list(range(10)) and together.size == 10
-    few = two_states.filter("sequence_position < 50")
+    few = two_states.filter("sequence_position < 12")   # short enough not to underflow in the plain definition
     parts = [part[["x", "y"]].to_numpy() for _, part in few.toPandas().sort_values(["sequence_id", "sequence_position"]).groupby("sequence_id")]
-    got = hmm._expectations(hmm.chunk_table(few, KEY, ["x", "y"], chunk=9), KEY, models, 2)
+    got = hmm._expectations(hmm.chunk_table(few, KEY, ["x", "y"], chunk=5), KEY, models, 2)
     for m, p in models.items():
         assert got[m] == pytest.approx(whole_expectations(p, parts), rel=1e-8, abs=1e-8)
     short = list(hmm.R.stacks([np.zeros(4)] * 3000, 2))
