@@ -177,6 +177,30 @@ def test_a_late_reading_gets_no_second_prediction(spark, tmp_path):
     assert got["ts"].is_unique and pd.Timestamp(ts[90]) not in set(got["ts"])
 
 
+def test_stretches_of_a_delivery_are_predicted_apart_with_the_buffer_before_them(spark, tmp_path, monkeypatch):
+    """Three deliveries, longer than a stretch: what is worked on together stays small, and predictions are those of one go."""
+    rng = np.random.default_rng(6)
+    n, d = 400, len(K.STATE_FEATURES)
+    ts = pd.date_range("2026-01-01", periods=n, freq="2min") + pd.to_timedelta(np.where(np.arange(n) >= 150, 3600, 0), unit="s")
+    pdf = pd.DataFrame({"site_id": "a", "ts": ts, "temperature": rng.normal(25, 1, n), "humidity": rng.normal(45, 2, n)})
+    params = hmm.Params(np.array([0.5, 0.5]), np.full((2, 2), 0.5), rng.normal(0, 1, (2, d)), np.ones((2, d)))
+    model = hmm.HmmModel(params, hmm.Scaler([0.0] * d, [1.0] * d), K.STATE_FEATURES, 0.0, True, [1])
+    monkeypatch.setattr(ST, "STRETCH", 16)
+    monkeypatch.setattr(ST, "AT_ONCE", 3)
+    moved = ST.detect_stream(feed(spark, tmp_path, pdf, 3), KEY, "ts", model)
+    assert "Repartition" in moved._jdf.queryExecution().analyzed().toString()   # not all in the task of the series
+    got = drain(spark, tmp_path, moved).toPandas().sort_values("ts")
+    us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+    x = ST.window_features(us, pdf["temperature"].to_numpy(), pdf["humidity"].to_numpy(), np.arange(n), 100, 125)
+    whole = [i for i in range(38, n) if np.isfinite(x[i, -1]).all()]
+    assert got["ts"].tolist() == [ts[i] for i in whole]
+    state, score = ST.last_states(params, x[whole])
+    assert got["state"].tolist() == state.tolist() and got["score"].to_numpy() == pytest.approx(score, abs=1e-8)
+    assert got["history_size"].tolist() == [min(i + 1, 100) for i in whole]
+    # the rows left out of a buffer are those that cannot be complete
+    assert not np.isfinite(x[:, :38]).all(2).any()
+
+
 def brute_episodes(pdf, enter, exit, max_gap, min_exit=5):
     closed, is_open, last = [], False, None
     for r in pdf.sort_values("ts").itertuples():
