@@ -23,7 +23,7 @@ from ..session import durable_checkpoint
 from .aggregates import feature_medians, impute_median, tail
 from .hourgrid import HOUR, regrid, resample_end
 from .segments import streaks
-from .timeblocks import BLOCK, carry
+from .timeblocks import BLOCK, HALO, carry, row_blocks
 from .windows import (base_columns, calendar_features, chrono_split, cross_features, targets,
                       trajectory_columns)
 
@@ -35,6 +35,9 @@ CROSS = ["interaction_energy_battery_risk", "interaction_environmental_energy_ri
          "max_subsystem_risk", "min_subsystem_health", "subsystem_health_spread",
          "subsystems_below_80", "subsystems_below_60"]
 GLOBAL_STREAK = "overall_health_consecutive_decline_hours"   # the name that stored feature lists carry
+#: Rows before its own that a feature of bounded look-back may read.
+LOOK_BACK = max(*K.HEALTH_LAGS, *K.HEALTH_WINDOWS, *K.SUBSYSTEM_LAGS, *K.HEALTH_CHANGES, *K.TRAJECTORY_LAGS, *K.TRAJECTORY_CHANGES, *K.TRAJECTORY_RATES,
+                *K.TRAJECTORY_WINDOWS, *K.TRAJECTORY_SLOPES, *[2 * p for p in K.TRAJECTORY_ACCELERATIONS])
 STREAKS = ([GLOBAL_STREAK, *[f"{c}_consecutive_decline_hours" for c in K.SUBSYSTEM_HEALTH]]
            + [f"{c}_consecutive_increase_hours" for c in K.SUBSYSTEM_RISK])
 
@@ -45,19 +48,20 @@ def model_frame(hourly: DataFrame, keys: Sequence[str],
     """Hourly scores -> features and targets, plus the feature names.
 
     Nothing is computed that a later ``select`` does not use: Catalyst prunes the generated
-    window columns, so a model that keeps 20 features costs 20 features.
+    window columns, so a model that keeps 20 features costs 20 features. Only row numbers and streaks are
+    taken key by key; features of bounded look-back are taken on blocks of a key's rows.
     """
     missing = [c for c in sources if c not in hourly.columns]
     if missing:
         raise ValueError(f"hourly table lacks forecast sources: {missing}")
-    base = base_columns(keys, HOUR)
-    dynamic = {n: e for c in sources for n, e in trajectory_columns(keys, HOUR, c).items()}
+    number = F.row_number().over(W.partitionBy(*keys).orderBy(HOUR))
+    df = streaks(hourly.withColumn("_i", number), keys, HOUR, ["overall_site_health", *K.SUBSYSTEM_HEALTH], K.SUBSYSTEM_RISK)
+    df = df.withColumnRenamed("overall_site_health_consecutive_decline_hours", GLOBAL_STREAK)
+    df, part = row_blocks(df, keys, "_i", LOOK_BACK, K.HORIZON_ROWS), [*keys, BLOCK]
+    base = base_columns(part, "_i")
+    dynamic = {n: e for c in sources for n, e in trajectory_columns(part, "_i", c).items()}
     dynamic = {n: e for n, e in dynamic.items() if n not in base and n not in hourly.columns}
-    df = targets(hourly.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(HOUR))),
-                 keys, HOUR)
-    df = df.withColumns({**base, **dynamic}).drop("_i")
-    df = streaks(df, keys, HOUR, ["overall_site_health", *K.SUBSYSTEM_HEALTH], K.SUBSYSTEM_RISK).withColumnRenamed(
-        "overall_site_health_consecutive_decline_hours", GLOBAL_STREAK)
+    df = targets(df, part, "_i").withColumns({**base, **dynamic}).filter(~F.col(HALO)).drop("_i", BLOCK, HALO)
     df = calendar_features(cross_features(df), HOUR)
     current = [c for c in K.CURRENT_FEATURES if c in hourly.columns]
     names = list(dict.fromkeys([*current, *base, *dynamic, *STREAKS, *CROSS, *CALENDAR]))
@@ -192,9 +196,11 @@ def fit_delta(frame: DataFrame, features: Sequence[str], keys: Sequence[str],
     the final model; ``sample``: training rows each tree uses; ``least``: weight a leaf needs.
     """
     keep = list(dict.fromkeys([*keys, HOUR, "overall_site_health", "target_health_6h", TARGET, *features]))
-    # the wide frame is derived once; everything below reads the materialised rows
-    split = durable_checkpoint(chrono_split(usable_rows(frame.select(*dict.fromkeys(
-        [*keep, *K.REQUIRED_FEATURES]))).select(*keep), keys, HOUR))
+    # the wide frame is derived once; everything below reads the materialised rows, and only their times are put in order
+    usable = usable_rows(frame.select(*dict.fromkeys([*keep, *K.REQUIRED_FEATURES]))).select(*keep)
+    usable = durable_checkpoint(usable.withColumn("_row", F.monotonically_increasing_id()))
+    labels = chrono_split(usable.select(*keys, HOUR, "_row"), keys, HOUR).select("_row", "split")
+    split = durable_checkpoint(usable.join(labels, "_row").drop("_row"))
     n = split.count()
     if n < min_rows:
         raise ValueError(f"too little history to train on: {n} usable rows, {min_rows} needed")

@@ -3,10 +3,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fieldwatch import constants as K
 from fieldwatch.operators import forecasting as FC
 from fieldwatch.operators import scoring as S
+from fieldwatch.operators import windows as W
 from fieldwatch.session import durable_checkpoint
 
 KEY = ["site_id"]
@@ -108,3 +111,27 @@ def test_drop_classifier_on_a_history_of_one_class(spark):
     assert (report["actual_events"], report["predicted_alerts"], report["f1"]) == (2, 0, 0.0)
     fitted, threshold, report = FC.fit_drop(_drop_frame(spark, [3, 20, 33, 41, 50, 66]), model, trees=3)
     assert fitted is not None and threshold in K.DROP_THRESHOLDS and report["actual_events"] == 0
+
+
+def test_features_of_a_long_history_are_taken_block_by_block(spark):
+    """1,100 hours lie in two blocks; each feature, target and streak is that of the whole series."""
+    n, rng = 1100, np.random.default_rng(3)
+    cols = list(dict.fromkeys([*K.CURRENT_FEATURES, *K.TRAJECTORY_SOURCES]))
+    names = ["overall_health_lag_168h", "health_mean_168h", "health_min_168h", "overall_site_health_rollstd_24h", "overall_site_health_slope_24h",
+             "overall_site_health_accel_6h", "target_health_6h"]
+    pdf = pd.DataFrame({c: rng.uniform(20, 90, n) for c in cols} | {"site_id": "a", "timestamp": pd.date_range("2026-01-01", periods=n, freq="1h")})
+    pdf.loc[900:, "overall_site_health"] = np.linspace(90, 30, 200)   # a fall across the border
+    pdf.loc[1030, "overall_site_health"] = np.nan
+    hourly = spark.createDataFrame(pdf).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    frame, _ = FC.model_frame(hourly, KEY, ["overall_site_health"])
+    assert "_block" in frame._jdf.queryExecution().optimizedPlan().toString()   # no task has the wide rows of a whole site
+    got = frame.select("timestamp", FC.GLOBAL_STREAK, *names).orderBy("timestamp").toPandas()
+    plain = hourly.withColumn("_i", F.row_number().over(Window.partitionBy(*KEY).orderBy("timestamp")))
+    plain = W.targets(plain, KEY, "timestamp").withColumns(W.base_columns(KEY, "timestamp") | W.trajectory_columns(KEY, "timestamp", "overall_site_health"))
+    want = plain.select("timestamp", *names).orderBy("timestamp").toPandas()
+    pd.testing.assert_frame_equal(got.drop(columns=FC.GLOBAL_STREAK), want)
+    health, streak, so_far = pdf["overall_site_health"].to_numpy(), [], 0
+    for i in range(n):
+        so_far = so_far + 1 if i and health[i] < health[i - 1] else 0
+        streak.append(so_far)
+    assert got[FC.GLOBAL_STREAK].tolist() == streak and max(streak) > 100
