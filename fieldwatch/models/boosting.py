@@ -8,6 +8,9 @@ same passes. The pass for a tree's first level also scores the validation rows u
 Gradients are whole numbers of a small unit, so sums do not depend on how rows are dealt out or in
 which order tasks end: a refit gives the same trees on any cluster. Tasks hold no state between passes;
 what the trees so far predict is recomputed from a snapshot, which itself comes from the stored rows.
+
+Where all binned rows fit a task, a pass takes longer to start than to add up. Each model then grows in a
+task of its own, from the same rows, draws and sums, to the same trees.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ AT_ONCE = 512        # rows that all trees predict together
 COLUMNS = 64         # columns whose histograms are counted at once
 UNIT_BITS = 30       # the largest gradient is about two to this power of units
 SNAPSHOT = 25        # rounds after which predictions so far are kept again
+ALONE = 1 << 25      # bin numbers that a task holds to grow a model alone
 
 
 @dataclass
@@ -163,6 +167,22 @@ def _added(margin: np.ndarray, trees: Sequence[Tree], codes: np.ndarray) -> np.n
     return margin
 
 
+def _drawn(seed: int, tree: int, block: int, n: int) -> np.ndarray:
+    return np.random.default_rng((seed, 1, tree, block)).random(n)
+
+
+def _sums(codes: np.ndarray, columns: np.ndarray, at: np.ndarray, place: np.ndarray, front: int, gradient: np.ndarray, w: np.ndarray, bins: int) -> np.ndarray:
+    """Gradients and weights of the rows ``at`` by ``(node, column, bin)``."""
+    sums, base = np.zeros((2, front, len(columns), bins)), place * bins
+    for k in range(0, len(columns), COLUMNS):
+        part = codes[columns[k:k + COLUMNS]][:, at].astype(np.int64)
+        cells = (part + base + np.arange(len(part))[:, None] * (front * bins)).ravel()
+        for which, weight in enumerate((gradient, w)):
+            counted = np.bincount(cells, np.tile(weight, len(part)), minlength=len(part) * front * bins)
+            sums[which, :, k:k + len(part)] = counted.reshape(len(part), front, bins).transpose(1, 0, 2)
+    return sums
+
+
 def _histograms(block: tuple, views: dict[int, dict], bins: int, unit: float) -> dict[int, tuple]:
     """Sums of one block: per model ``(nodes, columns, bins)`` gradients and weights, and the validation error."""
     number, codes, y, w, held, margins = block
@@ -177,18 +197,10 @@ def _histograms(block: tuple, views: dict[int, dict], bins: int, unit: float) ->
         place[v["front"]] = np.arange(len(v["front"]))
         take = ~held & (place[node] >= 0)
         if v["rows"] < 1:
-            take &= np.random.default_rng((v["seed"], 1, v["round"], number)).random(len(y)) < v["rows"]
+            take &= _drawn(v["seed"], v["round"], number, len(y)) < v["rows"]
         at = np.flatnonzero(take)
         gradient = np.rint((margin - y)[at] * w[at] / unit)
-        columns, front = v["columns"], len(v["front"])
-        sums = np.zeros((2, front, len(columns), bins))
-        base = place[node[at]] * bins
-        for k in range(0, len(columns), COLUMNS):
-            part = codes[columns[k:k + COLUMNS]][:, at].astype(np.int64)
-            cells = (part + base + np.arange(len(part))[:, None] * (front * bins)).ravel()
-            for which, weight in enumerate((gradient, w[at])):
-                counted = np.bincount(cells, np.tile(weight, len(part)), minlength=len(part) * front * bins)
-                sums[which, :, k:k + len(part)] = counted.reshape(len(part), front, bins).transpose(1, 0, 2)
+        sums = _sums(codes, v["columns"], at, place[node[at]], len(v["front"]), gradient, w[at], bins)
         out[m] = (sums[0], sums[1], np.array(error))   # whole gradients below 2**53 add up exactly as floats
     return out
 
@@ -275,9 +287,35 @@ def binned_blocks(rows: DataFrame, x: str, y: str, weight: str, held: str, edges
     return durable_checkpoint(packed_rows.withColumn("number", F.monotonically_increasing_id()))
 
 
+def _grown_alone(blocks: list[tuple], spec: Spec, base: float, edges: list[np.ndarray], bins: int, unit: float) -> _Grown:
+    """One model from all blocks, in this task."""
+    blocks = sorted(blocks, key=lambda b: b[0])
+    codes = np.concatenate([b[1] for b in blocks], axis=1)
+    y, w, held = (np.concatenate([b[k] for b in blocks]) for k in (2, 3, 4))
+    v, margin = _Grown(spec, base), np.full(len(y), base)
+    while True:
+        v.start()
+        if _settled(v, np.array([np.abs(y - margin)[held].sum(), held.sum()], float)):
+            v.done = True
+            return v
+        taken = ~held
+        if spec.rows < 1:
+            taken &= np.concatenate([_drawn(spec.seed, len(v.trees), b[0], len(b[2])) for b in blocks]) < spec.rows
+        taken = np.flatnonzero(taken)
+        mine, gradient, weight = codes[:, taken], np.rint((margin - y)[taken] * w[taken] / unit), w[taken]
+        while v.front:
+            node = _walk(v.tree, mine)
+            place = np.full(len(v.tree.feature), -1)
+            place[v.front] = np.arange(len(v.front))
+            at = np.flatnonzero(place[node] >= 0)
+            g, h = _sums(mine, v.drawn, at, place[node[at]], len(v.front), gradient[at], weight[at], bins)
+            _grow(v, g * unit, h, edges)
+        margin = _added(margin, v.trees[-1:], codes)
+
+
 def fit(rows: DataFrame, x: str, y: str, specs: Sequence[Spec], held: Column, weight: Column | None = None,
-        bins: int = 64, snapshot: int = SNAPSHOT) -> list[tuple[Boosted, Report]]:
-    """Grow one model per spec in shared passes.
+        bins: int = 64, snapshot: int = SNAPSHOT, alone: int = ALONE) -> list[tuple[Boosted, Report]]:
+    """Grow one model per spec: in shared passes, or each in its task where the table has at most ``alone`` bin numbers.
 
     ``x``: an array column without nulls, of one length; ``held``: the validation rows, which choose how many
     trees are kept (those up to the least mean absolute error; without such rows, all). Tree ``i`` of a
@@ -300,6 +338,11 @@ def fit(rows: DataFrame, x: str, y: str, specs: Sequence[Spec], held: Column, we
     blocks = stored.select("number", "n", "codes", "y", "w", "held").rdd.map(lambda r: (
         r["number"], np.frombuffer(r["codes"], np.uint8).reshape(width, r["n"]), np.frombuffer(r["y"]), np.frombuffer(r["w"]), np.frombuffer(r["held"], bool)))
 
+    if specs and stored.agg(F.sum("n")).first()[0] * width <= alone:
+        own = blocks.flatMap(lambda b: [(m, b) for m in range(len(specs))]).groupByKey(len(specs), int)
+        grown = dict(own.map(lambda found: (found[0], _grown_alone(list(found[1]), specs[found[0]], base, edges, bins, unit))).collect())
+        return [_finished(grown[m]) for m in models]
+
     def with_margins(trees: dict[int, list[Tree]]):
         return blocks.map(lambda b: (*b, {m: _added(np.full(len(b[2]), base), t, b[1]) for m, t in trees.items()})).persist(StorageLevel.MEMORY_AND_DISK)
     current = with_margins({m: [] for m in models})

@@ -10,8 +10,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from .. import constants as K
 from ..functions.numeric import clip, finite, flag, present
 from ..models import boosting
 from ..session import durable_checkpoint
-from .aggregates import feature_medians, impute_median, tail
+from .aggregates import doubles, feature_medians, impute_median, tail
 from .hourgrid import HOUR, regrid, resample_end
 from .segments import streaks
 from .timeblocks import BLOCK, HALO, carry, row_blocks
@@ -81,9 +80,10 @@ def usable_rows(frame: DataFrame) -> DataFrame:
 
 
 def drop_all_null(frame: DataFrame, features: Sequence[str]) -> list[str]:
-    """Features with at least one value; one aggregate row comes back."""
-    seen = frame.agg(*[F.count(finite(c)).alias(c) for c in features]).first()
-    return [c for c in features if seen[c] > 0]
+    """Features with at least one value; one row for each comes back."""
+    values = frame.select(F.posexplode(doubles(features)).alias("c", "v")).filter(finite("v").isNotNull())
+    seen = {r["c"] for r in values.groupBy("c").agg(F.count("v")).collect()}
+    return [f for c, f in enumerate(features) if c in seen]
 
 
 # --- evaluation -------------------------------------------------------------------------
@@ -163,10 +163,11 @@ class DeltaModel:
 
 
 def _ready(df: DataFrame, medians: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    filled = impute_median(df, medians.select(*keys, *features), keys, features)
+    filled = impute_median(df, medians, keys, features)
     # a site where a feature never had a value in training has no median either
-    filled = filled.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-    return VectorAssembler(inputCols=list(features), outputCol="_x").transform(filled)
+    known = set(features)
+    filled = filled.select(*[F.expr(f"coalesce(double(`{c}`), 0D) AS `{c}`") if c in known else F.col(f"`{c}`") for c in filled.columns])
+    return filled.withColumn("_x", array_to_vector(doubles(features)))
 
 
 def drop_weight(delta: str = TARGET) -> Column:

@@ -74,6 +74,16 @@ def test_models_grown_together_and_snapshots_change_nothing(table):
         assert {f for t in a[0].trees for f in t.feature} - {-1} <= set(spec.columns)
 
 
+def test_models_grown_alone_are_those_of_shared_passes(table):
+    specs = [boosting.Spec([1, 4], 2, 1.0, 12, 0.2, rows=0.8), boosting.Spec(range(6), 3, 0.7, 40, 0.3, 5, rows=0.8)]
+    passes = boosting.fit(table, "x", "y", specs, F.col("held"), F.col("w"), alone=0)
+    often = boosting.fit(table, "x", "y", specs, F.col("held"), F.col("w"), snapshot=3, alone=0)
+    own = boosting.fit(table, "x", "y", specs, F.col("held"), F.col("w"))
+    for a, b, c in zip(passes, often, own, strict=True):
+        assert a[0].as_json() == b[0].as_json() == c[0].as_json()
+        assert (a[1].best_round, a[1].rounds) == (c[1].best_round, c[1].rounds) and a[1].validation_mae == pytest.approx(c[1].validation_mae)
+
+
 def test_odd_tables(spark, table):
     kinds = "x array<double>, y double, w double, held boolean"
     with pytest.raises(ValueError, match="no training rows"):

@@ -92,6 +92,45 @@ def test_train_predict_unroll_and_storage(spark, hourly, tmp_path):
     assert FC.predict_next(hourly, again).first()["predicted_health"] == pytest.approx(one["predicted_health"])
 
 
+def test_the_fit_of_the_query_is_not_cut(spark, monkeypatch):
+    """m7 hands over every source and keeps the operator's rounds, patience and counts."""
+    import inspect
+    from fieldwatch.plans.registry import models as registered
+    seen = {}
+    real, frame = inspect.signature(FC.fit_delta), inspect.signature(FC.model_frame)
+
+    def caught(call, signature):
+        def run(*args, **options):
+            bound = signature.bind(*args, **options)
+            bound.apply_defaults()
+            seen[call] = bound.arguments
+            if call == "fit":
+                raise StopIteration
+            return None, ["x"]
+        return run
+    monkeypatch.setattr(registered, "frame_hourly", lambda spark, sf: None)
+    monkeypatch.setattr(FC, "model_frame", caught("frame", frame))
+    monkeypatch.setattr(FC, "fit_delta", caught("fit", real))
+    with pytest.raises(StopIteration):
+        registered.m7(spark, "")
+    assert list(seen["frame"]["sources"]) == FC.K.TRAJECTORY_SOURCES
+    assert (seen["fit"]["rounds"], seen["fit"]["patience"], seen["fit"]["rate"], tuple(seen["fit"]["counts"])) == (2000, 100, 0.02, (20, 50, 100, 200))
+
+
+def test_medians_fill_what_is_null_or_not_finite(spark):
+    from fieldwatch.operators import aggregates as A
+    kinds = "site_id int, n int, a double, `b c` double, d int"
+    rows = [(1, 0, 1.0, None, 4), (1, 1, float("inf"), None, None), (1, 2, 4.0, float("nan"), 7), (2, 3, None, 2.0, None), (None, 4, None, 5.0, 1)]
+    df, cols = spark.createDataFrame(rows, kinds), ["a", "b c", "d"]
+    medians = A.feature_medians(df, ["site_id"], cols)
+    assert sorted(map(tuple, medians.collect()), key=str) == [(1, 2.5, None, 5.5), (2, None, 2.0, None), (None, None, None, None)]
+    assert FC.drop_all_null(df.filter("site_id = 1"), cols) == ["a", "d"]
+    filled = [tuple(r) for r in A.impute_median(df, medians, ["site_id"], cols).select("n", *cols).orderBy("n").collect()]
+    assert filled == [(0, 1.0, None, 4.0), (1, 2.5, None, 5.5), (2, 4.0, None, 7.0), (3, None, 2.0, None), (4, None, 5.0, 1.0)]
+    ready = FC._ready(df, medians, ["site_id"], cols).orderBy("n").collect()
+    assert [list(r["_x"]) for r in ready[1:4]] == [[2.5, 0.0, 5.5], [4.0, 0.0, 7.0], [0.0, 2.0, 0.0]] and ready[3]["a"] == 0.0
+
+
 def _drop_frame(spark, drops):
     """100 hours of one site; hours in ``drops`` precede a major drop."""
     from fieldwatch import constants as K
