@@ -95,6 +95,31 @@ def test_models_of_one_state_count_step_together(spark, two_states):
     assert len(short) == 1 and all(len(at) * n[0] <= hmm.R.TOGETHER for at, n, _ in short)
 
 
+def test_rows_of_chunks_do_not_move_when_borders_are_joined(spark, two_states):
+    """Each of up to 61 steps would shuffle the whole table otherwise."""
+    import re
+    chunks = hmm.dealt_checkpoint(hmm.chunk_table(two_states, KEY, ["x", "y"], chunk=16, parts=3))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and chunks.rdd.getNumPartitions() == 3
+    plan = hmm._with_borders(chunks, KEY, {0: PARAMS}, 2, False, 512)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Exchange" in plan
+    assert not re.search(r"Exchange[^\n]*\n[^\n]*Scan ExistingRDD\[[^\]]*\bx#", plan), plan
+    whole = hmm._expectations(chunks, KEY, {0: PARAMS}, 2)[0]
+    assert whole == pytest.approx(hmm._expectations(hmm.chunk_table(two_states, KEY, ["x", "y"]), KEY, {0: PARAMS}, 2)[0], rel=1e-8, abs=1e-8)
+
+
+def test_centres_move_to_the_mean_of_their_nearest_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(0, 2, (700, 2)))   # many ties
+    seqs = spark.createDataFrame([("a", 1, i, float(u), float(v)) for i, (u, v) in enumerate(x)], "site_id string, sequence_id bigint, sequence_position bigint, x double, y double")
+    chunks, pairs = hmm.chunk_table(seqs, KEY, ["x", "y"], chunk=100), {0: (2, 1), 1: (5, 1), 2: (3, 9)}
+    begun, moved = (hmm._centres(chunks, seqs, ["x", "y"], pairs, rounds) for rounds in (0, 2))
+    for m, c in begun.items():
+        for _ in range(2):
+            near = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+            c = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))])
+        assert moved[m] == pytest.approx(c)
+
+
 def test_unsettled_models_are_never_chosen(spark, two_states):
     with pytest.raises(hmm.NotSettled):
         hmm.fit_hmm(two_states, KEY, ["x", "y"], 2, seeds=[0], iters=1)
