@@ -283,6 +283,37 @@ def test_readings_late_within_the_delay_change_no_episode(spark, tmp_path):
     assert len(want) > 5 and [(s, pd.Timestamp(x), pd.Timestamp(y), p, n) for s, x, y, p, n in rows] == want
 
 
+def test_episodes_of_arrays_are_those_of_one_reading_after_the_other():
+    """Random series with ties of levels, gaps and missing values, cut anywhere, against the plain machine."""
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n, exit_rows = int(rng.integers(1, 60)), int(rng.integers(1, 4))
+        t, v = np.cumsum(rng.choice([1, 2, 5, 50], n)) * 1_000_000, np.round(rng.normal(0, 2, n))
+        v[rng.random(n) < 0.05] = np.nan
+        enter = float(rng.integers(-1, 3))
+        level = enter - float(rng.integers(-1, 3))
+        want, now, last, left = [], None, None, 0
+        for at, x in zip(t.tolist(), v.tolist()):
+            if now and (np.isnan(x) or at - last > 10e6):
+                want.append(tuple(now))
+                now = None
+            last = at
+            if np.isnan(x):
+                continue
+            if not now and x >= enter:
+                now, left = [at, at, x, 0], 0
+            if now:
+                now[1:], left = [at, max(now[2], x), now[3] + 1], left + 1 if x <= level else 0
+                if left >= exit_rows:
+                    want.append(tuple(now))
+                    now = None
+        tracker, got, cuts = ST.Tracker(), [], np.sort(rng.integers(0, n + 1, 3))
+        for a, b in zip([0, *cuts], [*cuts, n]):
+            got += list(zip(*(c.tolist() for c in tracker.take(t[a:b], v[a:b], enter, level, 10.0, exit_rows))))
+        assert got == want and tracker.is_open == bool(now) and tracker.last == last
+        assert not now or (tracker.start, tracker.end, tracker.peak, tracker.n, tracker.left) == (*now, left)
+
+
 def test_readings_too_late_are_counted_and_change_no_episode(spark, tmp_path):
     a = series("a", 240, 1)
     late, kept = a.iloc[[16, 20, 21, 50]], a.drop(index=[16, 20, 21, 50])
